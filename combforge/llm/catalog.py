@@ -1,7 +1,7 @@
 """All registered queries of the subpackage."""
 
-from combforge.llm import licenses, lines, mixing, sharding
+from combforge.llm import chat, licenses, lines, mixing, sharding, simhash
 
-MODULES = (licenses, lines, mixing, sharding)
+MODULES = (licenses, chat, simhash, lines, mixing, sharding)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

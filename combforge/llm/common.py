@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +39,16 @@ def clash_free(names: list[str], wanted: str) -> str:
     return wanted
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared:  # tests and single machines
-            import tempfile
+def shared_path(spark: SparkSession) -> str:
+    """A fresh path in the folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:  # single machines and tests only
+        folder = tempfile.mkdtemp(prefix="combforge-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
 
-            shared = tempfile.mkdtemp(prefix="combforge-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write a table into the shared folder and read it back."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

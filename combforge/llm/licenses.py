@@ -100,7 +100,9 @@ def licence_words(base=BASE_PHRASES, templates=TEMPLATES) -> list[str]:
 def document_frequencies(docs: DataFrame, words: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
     """Number of documents, and of those with each word; as many rows reach the
     driver as there are licence words."""
-    found = with_words(docs.select(F.col(text).alias("text")), "text", "words").select(F.array_append(F.array_intersect("words", F.array(*map(F.lit, words))), F.lit("")).alias("w"))
+    found = with_words(docs.select(F.col(text).alias("text")), "text", "words")
+    own = F.array_distinct(F.array_compact(F.transform("words", lambda w: F.when(w.isin(*words), w))))
+    found = found.select(F.array_append(own, F.lit("")).alias("w"))
     counts = {r[0]: r[1] for r in found.select(F.explode("w").alias("w")).groupBy("w").count().collect()}
     return counts.get("", 0), {w: counts.get(w, 0) for w in words}
 
