@@ -44,7 +44,7 @@ from combforge.llm.common import table, written
 
 WIDTH, GRAM = 100, 32
 BLOCK = 1 << 21  # string starts handled at once in a document
-COLLECTION = 10_000  # spans after which a collection is closed
+COLLECTION = 5_000  # spans after which a collection is closed
 HOT = 5_000  # spans of a gram beyond which it is salted
 
 
@@ -92,20 +92,21 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Equal suffixes are ordered by string number; a shorter one precedes those it
     begins. Empty suffixes are left out.
     """
-    n = len(strings)
-    length = np.array([len(s) for s in strings], np.int32)
-    text = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16)
-    end = np.cumsum(length, dtype=np.int64)
-    number, size = np.arange(n, dtype=np.int32), np.zeros(n, np.int16)
+    whole = b"".join(strings)
+    length = np.array([len(s) for s in strings], np.int64)
+    n, stop = len(strings), 255 if b"\xff" not in whole else 256
+    kind = np.uint8 if stop == 255 else np.uint16
+    # the strings one after the other, each after a stop symbol
+    text = np.insert(np.frombuffer(whole, np.uint8).astype(kind), np.cumsum(length) - length, kind(stop))
+    end = (np.cumsum(length + 1) - 1).astype(np.int32)
+    at = end  # where the symbol before each suffix stands
     for _ in range(int(length.max(initial=0))):
-        # the symbol before a suffix of length k stands at end - k - 1; 256: none is left
-        at = np.maximum(end[number] - size - 1, 0)
-        bwt = np.where(size < length[number], text[at], 256).astype(np.uint16)
+        bwt = text[at]
         order = np.argsort(bwt, kind="stable")
-        order = order[: len(order) - int((bwt == 256).sum())]
-        number = np.concatenate([np.arange(n, dtype=np.int32), number[order]])
-        size = np.concatenate([np.zeros(n, np.int16), size[order] + np.int16(1)])
-    return number[n:], size[n:]
+        order = order[: len(order) - np.count_nonzero(bwt == stop)]
+        at = np.concatenate([end, at[order] - np.int32(1)])
+    number = np.repeat(np.arange(n, dtype=np.int32), length + 1)[at[n:]]
+    return number, end[number] - at[n:]
 
 
 def equal_strings(strings: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +136,21 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _grams_of(docs: DataFrame, width: int) -> DataFrame:
+    """(g) of every span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [spans(x.as_py(), width)[0] for x in b.column(0)]
+            if found:
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found))], names=["g"])
+
+    return docs.select("body").mapInArrow(run, "g BIGINT")
+
+
 def _occurrences(docs: DataFrame, width: int) -> DataFrame:
-    """(g, s, d, th, at, n): every span with the hashes of its gram and content."""
+    """(g, s, d, th, at): every span with the hashes of its gram and content; at
+    is 256 times its first string's start plus its number of strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -220,7 +234,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs: d, th, body (binary).
     """
     every = _occurrences(docs, width)
-    common = every.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
+    common = _grams_of(docs, width).groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
     rows = written(every.join(common, "g"))
     classes = written(rows.groupBy("g", "s").agg(F.min(F.struct("d", "th", "at")).alias("first"), F.count(F.lit(1)).alias("k")))
     copies = rows.join(classes.filter("k > 1").select("g", "s", "first"), ["g", "s"]).filter(F.struct("d", "th", "at") != F.col("first"))
