@@ -34,7 +34,8 @@ UNKNOWN = "und"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECE = 10  # pieces up to this length form the vocabulary
 CHUNK = 24  # letters of a word scored at once, so that products stay representable
-MEMORY = 200_000  # different words remembered per task
+MEMORY = 400_000  # different words remembered per task
+SIEVE_BITS = 20  # size of the filter before a piece is looked up
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,6 +61,21 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    return np.array(words, f"U{len(words[0])}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
+def _rolling(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, 64-bit hash of the k letters from each place), up to the longest piece."""
+    mixed = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    h = mixed
+    for k in range(1, min(codes.shape[1], MAX_PIECE) + 1):
+        if k > 1:
+            h = h[:, :-1] * np.uint64(0xBF58476D1CE4E5B9) + mixed[:, k - 1 :]
+        yield k, h ^ (h >> np.uint64(29))
+
+
 @dataclass
 class Model:
     """probability: (pieces + 2, languages); row 0 is impossible, row 1 a letter
@@ -70,13 +86,32 @@ class Model:
     probability: np.ndarray
     prior: np.ndarray
 
+    def __post_init__(self):
+        found = np.empty(len(self.pieces), np.uint64)
+        number = np.fromiter(self.pieces.values(), np.int32, len(self.pieces))
+        by: dict[int, list[int]] = {}
+        names = list(self.pieces)
+        for i, p in enumerate(names):
+            by.setdefault(len(p), []).append(i)
+        for k, own in by.items():
+            found[own] = next(h for n, h in _rolling(_codes([names[i] for i in own])) if n == k)[:, 0]
+        order = np.argsort(found)
+        self.found, self.number = found[order], number[order]
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[found & np.uint64((1 << SIEVE_BITS) - 1)] = True
+
     def lattice(self, words: list[str]) -> np.ndarray:
         """(words, end, length) piece numbers, for words of one length."""
         n = len(words[0])
-        longest = min(n, MAX_PIECE)
-        get = self.pieces.get
-        flat = np.fromiter((get(w[j - k : j], 1 if k == 1 else 0) if k <= j else 0 for w in words for j in range(1, n + 1) for k in range(1, longest + 1)), np.int32, len(words) * n * longest)
-        return flat.reshape(len(words), n, longest)
+        ids = np.zeros((len(words), n, min(n, MAX_PIECE)), np.int32)
+        ids[:, :, 0] = 1
+        for k, h in _rolling(_codes(words)):
+            w, i = np.nonzero(self.sieve[h & np.uint64((1 << SIEVE_BITS) - 1)])
+            asked = h[w, i]
+            at = np.minimum(np.searchsorted(self.found, asked), len(self.found) - 1)
+            hit = self.found[at] == asked
+            ids[w[hit], i[hit] + (k - 1), k - 1] = self.number[at[hit]]
+        return ids
 
     def forward(self, words: list[str]) -> np.ndarray:
         """(words, languages) log probabilities, summed over segmentations."""
@@ -163,8 +198,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         number: dict[str, int] = {}
         scores = np.zeros((0, 0))
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
+            for start in range(0, b.num_rows, 1024):
+                part = b.slice(start, 1024)
                 found = [Counter(chunks(t)) if t else {} for t in part.column(at).to_pylist()]
                 langs, best = [], []
                 if m is not None:
