@@ -103,7 +103,7 @@ def document_frequencies(docs: DataFrame, words: list[str], text: str = "text")
     found = with_words(docs.select(F.col(text).alias("text")), "text", "words")
     own = F.array_distinct(F.array_compact(F.transform("words", lambda w: F.when(w.isin(*words), w))))
     found = found.select(F.array_append(own, F.lit("")).alias("w"))
-    counts = {r[0]: r[1] for r in found.select(F.explode("w").alias("w")).groupBy("w").count().collect()}
+    counts = {r[0]: r[1] for r in found.select(F.explode_outer("w").alias("w")).groupBy("w").count().collect()}
     return counts.get("", 0), {w: counts.get(w, 0) for w in words}
 
 
