@@ -29,7 +29,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     keep = [c for c in docs.columns if c.lower() not in out]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     ident = (F.col(f"`{doc_id}`").alias("d"), F.xxhash64(body).alias("th"))
-    lines = docs.select(*ident, F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    lines = docs.select(*ident, F.posexplode_outer(F.split(body, "\n")).alias("pos", "line"))
     lines = lines.select("d", "th", "pos", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key")).filter(F.length("key") >= min_chars)
     lines = lines.select("d", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
     common = lines.groupBy("h1", "h2").agg(F.count_distinct("d").alias("n"), F.max("d").alias("keeper")).filter(F.col("n") >= min_docs).select("h1", "h2", "keeper")
