@@ -4,11 +4,11 @@ A byte goes if a ``width``-byte string that covers it also starts earlier (in a
 smaller doc_id, or earlier in the same document), judged on the input.
 
 The suffix structure of a collection is built column by column: every round
-prepends one symbol to each string, and the new order of all suffixes is the
-stable order of the Burrows-Wheeler transform's symbols. The number of rounds is
-the length of the longest string, and each round passes over the transform, so
-whole documents (a hundred thousand rounds over the corpus) are out of reach.
-They are therefore cut where content says so, without losing a string:
+prepends one symbol to each string, and the stable order of those symbols (the
+column of the Burrows-Wheeler transform) gives the new order of the suffixes.
+The number of rounds is the length of the longest string, so whole documents (a
+hundred thousand rounds over the corpus) are out of reach. They are therefore
+cut where content says so, without losing a string:
 
 1. The smallest 32-byte gram of each ``width``-byte string is its anchor; strings
    that follow each other with one anchor form a span of fewer than 2 * ``width``
@@ -16,8 +16,8 @@ They are therefore cut where content says so, without losing a string:
 2. Spans whose gram occurs once hold nothing repeated. Of equal spans all but the
    first are repeated throughout, and only the first goes on; it does so only if
    its gram has different spans.
-3. These short spans make up the collections of the column-wise construction, a
-   gram's spans together; a gram with very many is salted over collections, each
+3. These short spans, aligned at their grams, make up the collections of the
+   column-wise construction, a gram's spans together; a gram with very many is salted over collections, each
    of which reduces its strings to the first of each; the firsts meet by hash.
 4. Neighbours in suffix order that share ``width`` bytes are equal strings.
 
@@ -71,8 +71,9 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (w - k)], v[w - k :]) if w > k else v
 
 
-def spans(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first string start, number of string starts) of each span."""
+def spans(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first string start, number of string starts, distance of the
+    gram from the first start) of each span."""
     out = []
     whole = np.frombuffer(data, np.uint8)
     for at in range(0, len(data) - width + 1, BLOCK):
@@ -80,56 +81,53 @@ def spans(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray
         low = np.uint64((1 << 24) - 1)
         place = _least((h & ~low) | np.arange(len(h), dtype=np.uint64), width - gram + 1) & low
         first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-        out.append((h[place[first]], first + at, np.diff(np.append(first, len(place)))))
+        out.append((h[place[first]], first + at, np.diff(np.append(first, len(place))), place[first].astype(np.int64) - first))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(string number, suffix length) in suffix order, built column-wise.
+def equal_strings(strings: list[bytes], gram: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string number, start, class) of every ``width``-byte string.
 
-    Equal suffixes are ordered by string number; a shorter one precedes those it
-    begins. Empty suffixes are left out.
+    The strings stand aligned at their grams, as equal parts have them at equal
+    distance. Columns are inserted from the last to the first: each round
+    prepends one symbol to every string that reaches the column, and the stable
+    order of the symbols turns the order of the suffixes behind them into the new
+    one. Where strings start, neighbours that share ``width`` bytes are equal.
     """
-    whole = b"".join(strings)
-    length = np.array([len(s) for s in strings], np.int64)
-    n, stop = len(strings), 255 if b"\xff" not in whole else 256
-    kind = np.uint8 if stop == 255 else np.uint16
-    # the strings one after the other, each after a stop symbol
-    text = np.insert(np.frombuffer(whole, np.uint8).astype(kind), np.cumsum(length) - length, kind(stop))
-    end = (np.cumsum(length + 1) - 1).astype(np.int32)
-    at = end  # where the symbol before each suffix stands
-    for _ in range(int(length.max(initial=0))):
-        bwt = text[at]
-        order = np.argsort(bwt, kind="stable")
-        order = order[: len(order) - np.count_nonzero(bwt == stop)]
-        at = np.concatenate([end, at[order] - np.int32(1)])
-    number = np.repeat(np.arange(n, dtype=np.int32), length + 1)[at[n:]]
-    return number, end[number] - at[n:]
-
-
-def equal_strings(strings: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string number, start, class) of every ``width``-byte string."""
-    number, size = suffix_order(strings)
-    long = size >= width
-    number, size = number[long], size[long].astype(np.int64)
     length = np.array([len(s) for s in strings], np.int64)
     text = np.frombuffer(b"".join(strings), np.uint8)
-    start = length[number] - size
-    at = (np.cumsum(length) - length)[number] + start
-    new = np.ones(len(at), bool)
-    for lo in range(0, len(at) - 1, 1 << 16):
-        a = at[lo : lo + (1 << 16) + 1]
-        same = np.ones(len(a) - 1, bool)
-        for k in range(0, width, 4):
-            cols = np.arange(k, min(k + 4, width))
+    origin = np.cumsum(length) - length
+    left, right = -gram.astype(np.int64), length - gram  # columns from left to before right
+    order = np.zeros(0, np.int64)
+    numbers, starts, classes, made = [], [], [], 0
+    enters = np.argsort(-right, kind="stable")
+    ends = -right[enters]
+    for column in range(int(right.max(initial=0)) - 1, int(left.min(initial=0)) - 1, -1):
+        fresh = enters[np.searchsorted(ends, -(column + 1), "left") : np.searchsorted(ends, -(column + 1), "right")]
+        order = np.concatenate([fresh, order])  # an empty suffix comes first
+        order = order[left[order] <= column]
+        at = origin[order] + (column - left[order])
+        step = np.argsort(text[at], kind="stable")
+        order, at = order[step], at[step]
+        long = right[order] - column >= width
+        own, place = order[long], at[long]
+        if not len(own):
+            continue
+        same = np.ones(len(own) - 1, bool)
+        for k in range(0, width, 10):
             live = np.flatnonzero(same)
             if not len(live):
                 break
-            same[live] = (text[a[live, None] + cols] == text[a[live + 1, None] + cols]).all(1)
-        new[lo + 1 : lo + len(a)] = ~same
-    return number, start, np.cumsum(new) - 1
+            cols = np.arange(k, min(k + 10, width))
+            same[live] = (text[place[live, None] + cols] == text[place[live + 1, None] + cols]).all(1)
+        numbers.append(own)
+        starts.append(column - left[own])
+        classes.append(made + np.concatenate([[0], np.cumsum(~same)]))
+        made = int(classes[-1][-1]) + 1
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate(x or none) for x in (numbers, starts, classes))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -150,7 +148,7 @@ def _grams_of(docs: DataFrame, width: int) -> DataFrame:
 
 def _occurrences(docs: DataFrame, width: int) -> DataFrame:
     """(g, s, d, th, at): every span with the hashes of its gram and content; at
-    is 256 times its first string's start plus its number of strings."""
+    packs its first string's start, its number of strings and its gram's distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -159,15 +157,15 @@ def _occurrences(docs: DataFrame, width: int) -> DataFrame:
                 data = b.column(2)[i].as_py()
                 if len(data) < width:
                     continue
-                g, at, n = spans(data, width)
+                g, at, n, gram = spans(data, width)
                 s = np.fromiter((digest(data[x : x + k]) for x, k in zip(at.tolist(), (n + (width - 1)).tolist(), strict=True)), np.uint64, len(at))
-                yield pa.RecordBatch.from_arrays([_signed(g), _signed(s), pa.array(np.full(len(g), b.column(0)[i].as_py())), pa.array(np.full(len(g), b.column(1)[i].as_py())), pa.array(at.astype(np.int64) * 256 + n)], names=["g", "s", "d", "th", "at"])
+                yield pa.RecordBatch.from_arrays([_signed(g), _signed(s), pa.array(np.full(len(g), b.column(0)[i].as_py())), pa.array(np.full(len(g), b.column(1)[i].as_py())), pa.array((at.astype(np.int64) << 16) | (n << 8) | gram)], names=["g", "s", "d", "th", "at"])
 
     return docs.mapInArrow(run, "g BIGINT, s BIGINT, d BIGINT, th BIGINT, at BIGINT")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(g, salt, d, th, start, span) of the wanted spans."""
+    """(g, salt, d, th, start, span, gram) of the wanted spans; gram: its distance."""
     per = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("g", "salt", "at")).alias("w"))
     rows = docs.join(per, ["d", "th"]).select("d", "th", "body", "w")
 
@@ -176,11 +174,13 @@ def _contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             out = []
             for i in range(b.num_rows):
                 d, th, data = (b.column(k)[i].as_py() for k in range(3))
-                out += [(w["g"], w["salt"], d, th, w["at"] >> 8, data[w["at"] >> 8 : (w["at"] >> 8) + (w["at"] & 255) + width - 1]) for w in b.column(3)[i].as_py()]
+                for w in b.column(3)[i].as_py():
+                    at, n, gram = w["at"] >> 16, w["at"] >> 8 & 255, w["at"] & 255
+                    out.append((w["g"], w["salt"], d, th, at, data[at : at + n + width - 1], gram))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["g", "salt", "d", "th", "start", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["g", "salt", "d", "th", "start", "span", "gram"])
 
-    return rows.mapInArrow(run, "g BIGINT, salt INT, d BIGINT, th BIGINT, start BIGINT, span BINARY")
+    return rows.mapInArrow(run, "g BIGINT, salt INT, d BIGINT, th BIGINT, start BIGINT, span BINARY, gram INT")
 
 
 REPEATS = "d BIGINT, th BIGINT, lo BIGINT, hi BIGINT, w1 BIGINT, w2 BIGINT"
@@ -189,7 +189,7 @@ REPEATS = "d BIGINT, th BIGINT, lo BIGINT, hi BIGINT, w1 BIGINT, w2 BIGINT"
 def _collection(rows: list[tuple], width: int) -> pa.RecordBatch:
     """Repeated strings of a collection as runs of starts lo..hi; for salted
     spans also the first string of each class, with its hash."""
-    number, start, cls = equal_strings([r[5] for r in rows], width)
+    number, start, cls = equal_strings([r[5] for r in rows], np.array([r[6] for r in rows]), width)
     d, th, begin = (np.array([r[k] for r in rows], np.int64)[number] for k in (2, 3, 4))
     salted = np.array([r[1] >= 0 for r in rows])[number]
     begin = begin + start
@@ -238,7 +238,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = written(every.join(common, "g"))
     classes = written(rows.groupBy("g", "s").agg(F.min(F.struct("d", "th", "at")).alias("first"), F.count(F.lit(1)).alias("k")))
     copies = rows.join(classes.filter("k > 1").select("g", "s", "first"), ["g", "s"]).filter(F.struct("d", "th", "at") != F.col("first"))
-    start, number = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(255).cast("bigint"))
+    start, number = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255).cast("bigint"))
     copies = copies.select("d", "th", start.alias("lo"), (start + number - 1).alias("hi"))
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     wanted = classes.select("g", "s", "first").join(several, "g")

@@ -1,15 +1,19 @@
 import random
 
+import numpy as np
 import pytest
 
 from combforge.llm import suffixes
 
 
-def test_suffix_order():
-    s = [b"banana", b"ananas", b"", b"an", b"banana", bytes([255, 0, 255])]
-    number, size = suffixes.suffix_order(s)
-    got = [s[i][len(s[i]) - k :] for i, k in zip(number, size)]
-    assert got == sorted(got) and len(got) == sum(map(len, s))
+def test_equal_strings():
+    s, gram = [b"xxabcdefyy", b"abcdef", b"zabcdefyq", bytes([255]) * 8, b""], [4, 2, 3, 0, 0]
+    number, start, cls = suffixes.equal_strings(s, np.array(gram), 4)
+    got = {}
+    for i, p, c in zip(number, start, cls):
+        got.setdefault(c, []).append((s[i][p : p + 4], p - gram[i]))
+    assert sum(map(len, got.values())) == sum(max(0, len(x) - 3) for x in s)
+    assert all(len(set(v)) == 1 for v in got.values()) and len({v[0] for v in got.values()}) == len(got)
 
 
 def brute(texts, width):
