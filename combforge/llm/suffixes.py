@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from combforge.llm.common import table, written
+from combforge.llm.common import delete, shared_path, table, written
 
 WIDTH, GRAM = 100, 32
 BLOCK = 1 << 21  # string starts handled at once in a document
@@ -229,35 +229,41 @@ def _resolve(contents: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(d, th, lo, hi): runs of starts of strings that also start earlier.
+    """(d, th, runs): each document's runs lo..hi of starts of strings that also
+    start earlier, as lo * 2**32 + hi.
 
-    docs: d, th, body (binary).
+    docs: d, th, body (binary). The tables on the way are deleted when the result
+    is written. Grams that occur twice are a table of their own, so that adaptive
+    execution can split the join on a very frequent gram.
     """
-    every = _occurrences(docs, width)
-    common = _grams_of(docs, width).groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
-    rows = written(every.join(common, "g"))
-    classes = written(rows.groupBy("g", "s").agg(F.min(F.struct("d", "th", "at")).alias("first"), F.count(F.lit(1)).alias("k")))
-    copies = rows.join(classes.filter("k > 1").select("g", "s", "first"), ["g", "s"]).filter(F.struct("d", "th", "at") != F.col("first"))
-    start, number = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255).cast("bigint"))
-    copies = copies.select("d", "th", start.alias("lo"), (start + number - 1).alias("hi"))
+    spark = docs.sparkSession
+    folder = shared_path(spark)
+    common = written(_grams_of(docs, width).groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g"), f"{folder}/common")
+    rows = written(_occurrences(docs, width).join(common, "g"), f"{folder}/rows")
+    classes = written(rows.groupBy("g", "s").agg(F.min(F.struct("d", "th", "at")).alias("first"), F.count(F.lit(1)).alias("k")), f"{folder}/classes")
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     wanted = classes.select("g", "s", "first").join(several, "g")
     salt = F.when(F.col("k") > HOT, F.pmod("s", F.ceil(F.col("k") / HOT)).cast("int")).otherwise(F.lit(-1))
     wanted = wanted.select("g", salt.alias("salt"), "first.d", "first.th", "first.at")
-    found = written(_resolve(_contents(docs, wanted, width), width))
+    found = written(_resolve(_contents(docs, wanted, width), width), f"{folder}/found")
+    copies = rows.join(classes.filter("k > 1").select("g", "s", "first"), ["g", "s"]).filter(F.struct("d", "th", "at") != F.col("first"))
+    start, number = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255).cast("bigint"))
+    copies = copies.select("d", "th", start.alias("lo"), (start + number - 1).alias("hi"))
     firsts = found.filter("w1 IS NOT NULL")
     least = firsts.groupBy("w1", "w2").agg(F.min(F.struct("d", "th", "lo")).alias("first"))
     late = firsts.join(least, ["w1", "w2"]).filter(F.struct("d", "th", "lo") != F.col("first")).select("d", "th", "lo", "hi")
-    return copies.unionByName(found.filter("w1 IS NULL").select("d", "th", "lo", "hi")).unionByName(late)
+    every = copies.unionByName(found.filter("w1 IS NULL").select("d", "th", "lo", "hi")).unionByName(late)
+    packed = every.select("d", "th", (F.shiftleft("lo", 32) + F.col("hi")).alias("run"))
+    runs = written(packed.groupBy("d", "th").agg(F.collect_list("run").alias("runs")))
+    delete(spark, folder)
+    return runs
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, kept (binary), n_bytes, n_removed, n_spans."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("d"), F.xxhash64(body).alias("th"), body.alias("body"), F.col(f"`{doc_id}`").alias("doc_id"))
-    runs = repeated_starts(rows.select("d", "th", "body"), width)
-    per = runs.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    joined = rows.join(per, ["d", "th"], "left").select("doc_id", "body", "runs")
+    joined = rows.join(repeated_starts(rows.select("d", "th", "body"), width), ["d", "th"], "left").select("doc_id", "body", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,9 +272,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
                 data, found = b.column(1)[i].as_py(), b.column(2)[i]
                 edge = np.zeros(len(data) + 1, np.int64)
                 if found.is_valid:
-                    lo, hi = (c.to_numpy() for c in found.values.flatten())
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi + width, -1)
+                    packed = found.values.to_numpy()
+                    np.add.at(edge, packed >> 32, 1)
+                    np.add.at(edge, (packed & 0xFFFFFFFF) + width, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 cuts.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (1 if len(gone) and gone[0] else 0)))
