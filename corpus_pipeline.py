@@ -19,10 +19,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near copies the smallest doc_id stays.
 
     Five-word shingles and 256 bits: a Jaccard similarity of 0.8 puts 15 % of
-    the bits apart (39 +- 6); up to 44 count as near. Rows with a null doc_id
+    the bits apart (39 +- 6). Up to 18 apart is a near copy; from 19 to 60 the
+    texts decide, which need an exact similarity of 0.8. Rows with a null doc_id
     stay; repeated rows of a doc_id are reduced to one.
     """
-    groups = simhash.near_duplicates(docs, width=5, words=4, radius=44, tile=32768)
+    groups = simhash.near_duplicates(docs, width=5, words=4, radius=60, near=18, similarity=0.8, first=24, tile=8192)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     once = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
