@@ -85,6 +85,26 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
     return rows.select("row", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def repeated(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
+    """The mix itself: every row as often as it is taken, with its own columns.
+
+    Copies are decided on ids, sources and sizes alone; texts are shuffled once,
+    to meet the decision. Rows equal in all three share it: if the budget ends
+    among them, the first by text hash get the copy more.
+    """
+    body, label = (F.col(f"`{c}`") for c in (text, source))
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("id"), label.alias("source"), body.alias("text"))
+    taken = mix(narrow, weights, "id", keep=["id", "source"], **more)
+    by = ["row.id", "row.source", "size"]
+    taken = taken.groupBy(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by))).agg(F.min("copies").alias("least"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("extra"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"), label.alias("source"), word_count(body).alias("size"), F.xxhash64(body).alias("h"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("h")))
+    both = rows.join(taken, F.col("id").eqNullSafe(F.col("k0")) & F.col("source").eqNullSafe(F.col("k1")) & (F.col("size") == F.col("k2")))
+    copies = (F.col("least") + (F.col("r") <= F.col("extra")).cast("bigint")).cast("int")
+    each = both.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"))
+    return each.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled quality 1 weighs 1, quality 0 a quarter."""
     return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.25).alias("weight"))

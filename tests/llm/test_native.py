@@ -108,3 +108,16 @@ def test_op10_columns(spark, tmp_path):
 def test_op5_digest(spark, tmp_path):
     frame(spark, [(1, "a\nb", "a")]).write.parquet(str(tmp_path / "documents.parquet"))
     assert lines.op5_lines(spark, str(tmp_path)).first().kept_sha256 == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_the_mix_repeats_rows_as_often_as_decided(spark):
+    rows = [(i % 40, f"s{i % 3}", "w " * (i % 7), 0) for i in range(90)] + [(None, None, "a b", 1)] * 5 + [(None, "s1", None, 1), (3, "s2", "q " * 300, 2)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, source STRING, text STRING, size INT")
+    out = mixing.repeated(df)
+    assert out.columns == df.columns
+    key = lambda r: (r.doc_id, r.source, len((r.text or "").split()))
+    got, want = Counter(map(key, out.collect())), Counter()
+    for r in mixing.mix(df).collect():
+        want[key(r.row)] += r.copies
+    assert got == +want
+    assert mixing.repeated(df.limit(0)).count() == 0
