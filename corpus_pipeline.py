@@ -37,8 +37,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: 0 to 3 rows."""
-    mixed = mixing.mix(docs, mixing.quality_weights(spark, sf_dir)).filter("copies > 0")
-    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*").select(*docs.columns)
+    return mixing.repeated(docs, mixing.quality_weights(spark, sf_dir))
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
