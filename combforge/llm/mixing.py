@@ -95,11 +95,16 @@ def repeated(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "d
     body, label = (F.col(f"`{c}`") for c in (text, source))
     narrow = docs.select(F.col(f"`{doc_id}`").alias("id"), label.alias("source"), body.alias("text"))
     taken = mix(narrow, weights, "id", keep=["id", "source"], **more)
-    by = ["row.id", "row.source", "size"]
-    taken = taken.groupBy(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by))).agg(F.min("copies").alias("least"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("extra"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"), label.alias("source"), word_count(body).alias("size"), F.xxhash64(body).alias("h"))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("h")))
-    both = rows.join(taken, F.col("id").eqNullSafe(F.col("k0")) & F.col("source").eqNullSafe(F.col("k1")) & (F.col("size") == F.col("k2")))
+    keys = ["no_id", "key_id", "no_source", "key_source", "size"]  # without nulls: window and join share one partitioning
+
+    def keyed(i: Column, src: Column) -> list[Column]:
+        return [i.isNull().alias("no_id"), F.coalesce(i.cast("string"), F.lit("")).alias("key_id"), src.isNull().alias("no_source"), F.coalesce(src.cast("string"), F.lit("")).alias("key_source")]
+
+    taken = taken.select(*keyed(F.col("row.id"), F.col("row.source")), "size", "copies")
+    taken = taken.groupBy(*keys).agg(F.min("copies").alias("least"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("extra"))
+    rows = docs.select(F.struct("*").alias("row"), *keyed(F.col(f"`{doc_id}`"), label), word_count(body).alias("size"), F.xxhash64(body).alias("h"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h")))
+    both = rows.join(taken, keys)
     copies = (F.col("least") + (F.col("r") <= F.col("extra")).cast("bigint")).cast("int")
     each = both.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"))
     return each.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
