@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from combforge.llm import decontaminate, language, mixing, sharding, simhash
+from combforge.llm import decontaminate, language, mixing, sharding, similar
 from combforge.llm.common import clash_free, table, written
 
 
@@ -18,12 +18,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays.
 
-    Five-word shingles and 256 bits: a Jaccard similarity of 0.8 puts 15 % of
-    the bits apart (39 +- 6). Up to 18 apart is a near copy; from 19 to 60 the
-    texts decide, which need an exact similarity of 0.8. Rows with a null doc_id
-    stay; repeated rows of a doc_id are reduced to one.
+    Near copies have a Jaccard similarity of 0.8 or more over their different
+    five-word shingles; all such pairs are found (``similar``), no fingerprint
+    decides. Rows with a null doc_id stay; repeated rows of a doc_id are reduced
+    to one.
     """
-    groups = simhash.near_duplicates(docs, width=5, words=4, radius=60, near=18, similarity=0.8, first=24, tile=8192)
+    groups = similar.groups(docs, width=5, similarity=0.8)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     once = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
