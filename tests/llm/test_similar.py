@@ -61,3 +61,16 @@ def test_parity_never_exceeds_the_difference():
     for n in (1, 5, 200, 5000):
         a, b = (np.unique(rng.integers(0, 2 * n, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7) for _ in "ab")
         assert np.bitwise_count(similar.parity(a) ^ similar.parity(b)).sum() <= len(np.setxor1d(a, b))
+
+
+def unlike(tag, n):
+    return [f"{tag}{k}" for k in range(n)]
+
+
+def test_repeats_do_not_count_and_short_texts_are_compared(spark):
+    own, line = unlike("a", 190), " ".join(unlike("l", 10))
+    short = unlike("s", 8)
+    texts = {1: " ".join(own) + f" {line}", 2: " ".join(own) + f" {line}" * 20, 3: " ".join(short), 4: " ".join([*short, "end"])}
+    texts |= {10 + 2 * k: " ".join(unlike(f"x{k}-", 8)) for k in range(100)}
+    texts |= {11 + 2 * k: texts[10 + 2 * k] + " end" for k in range(100)}  # 4 of 5 shingles
+    assert kept(spark, texts) == by_hand(texts) == [1, 3, *range(10, 210, 2)]
