@@ -74,3 +74,9 @@ def test_repeats_do_not_count_and_short_texts_are_compared(spark):
     texts |= {10 + 2 * k: " ".join(unlike(f"x{k}-", 8)) for k in range(100)}
     texts |= {11 + 2 * k: texts[10 + 2 * k] + " end" for k in range(100)}  # 4 of 5 shingles
     assert kept(spark, texts) == by_hand(texts) == [1, 3, *range(10, 210, 2)]
+
+
+def test_texts_of_one_repeated_line_are_not_copies(spark):
+    line = f" {' '.join(unlike('l', 13))}" * 30
+    texts = {k: " ".join(unlike(f"o{k}-", 100)) + line for k in range(4)}
+    assert by_hand(texts) == [0, 1, 2, 3] and kept(spark, texts) == [0, 1, 2, 3]
