@@ -2,7 +2,9 @@
 
 Words of documents and benchmark items become canonical tokens: anything with a
 digit is a NUMBER, a unit after a number is a UNIT, a capitalised word inside a
-sentence is a NAME, all else is the lower-cased word without outer punctuation.
+sentence is a NAME, also at sentence starts if the text never has it in lower
+case; all else is the lower-cased word without outer punctuation. Windows of
+plain lower-cased words are joined besides, so exact copies count in any case.
 Windows of ``width`` canonical tokens are hash-joined. Hits vote for (item,
 relative position); there the slots are compared: a benchmark slot value must
 stand for one document value throughout, windows over slots that break this do
@@ -59,8 +61,9 @@ class Lexicon(dict):
         self[token] = i
         return i
 
-    def canonical(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and class (0 word, 1 number, 2 unit, 3 name) of each token."""
+    def canonical(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and class (0 word, 1 number, 2 unit, 3 name) of each token, and the
+        hash of its plain lower-cased word."""
         out = []
         for at in range(0, len(tokens), WORDS_KEPT // 2):
             part = tokens[at : at + WORDS_KEPT // 2]
@@ -75,9 +78,16 @@ class Lexicon(dict):
         inside = np.zeros(len(h), bool)
         inside[1:] = kind[:-1] & 8 == 0
         unit = after & (kind & 4 > 0) & ~number
-        name = inside & (kind & 2 > 0) & ~number & ~unit
+        capital = (kind & 2 > 0) & ~number & ~unit
+        name = inside & capital
+        start = np.flatnonzero(capital & ~inside)
+        if len(start) and name.any():
+            used, lower = np.unique(h[name]), h[kind & 2 == 0]
+            start = start[np.isin(h[start], used)]
+            name[start[~np.isin(h[start], lower)]] = True
+        plain = h.copy()
         h[number], h[unit], h[name] = NUMBER, UNIT, NAME
-        return h, number * 1 + unit * 2 + name * 3
+        return h, number * 1 + unit * 2 + name * 3, plain
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -97,16 +107,17 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
         self.items, self.tables = [], {}
         lexicon = Lexicon()
-        by: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        by: dict[tuple[int, int], dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             tokens = (text or "").split()
             if not tokens:
                 continue
-            h, kind = lexicon.canonical(tokens)
+            h, kind, plain = lexicon.canonical(tokens)
             w = min(width, len(tokens))
-            hashes = windows(h, w)
-            for at, x in enumerate(hashes.tolist()):
-                by[w][x].append((len(self.items), at))
+            for form, own in enumerate((h, plain)):
+                hashes = windows(own, w)
+                for at, x in enumerate(hashes.tolist()):
+                    by[form, w][x].append((len(self.items), at))
             self.items.append((item_id, tokens, kind, w, len(hashes)))
         for w, found in by.items():
             sieve = np.zeros(1 << FILTER_BITS, bool)
@@ -118,15 +129,15 @@ class Benchmark:
         tokens = (text or "").split()
         if not tokens:
             return []
-        h, _ = lexicon.canonical(tokens)
-        votes: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for w, (sieve, found) in self.tables.items():
-            own = windows(h, w)
+        h, _, plain = lexicon.canonical(tokens)
+        votes: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        for (form, w), (sieve, found) in self.tables.items():
+            own = windows(plain if form else h, w)
             for p in np.flatnonzero(sieve[own & np.uint64((1 << FILTER_BITS) - 1)]).tolist():
                 for item, at in found.get(int(own[p]), ()):
-                    votes[item, p - at].append(at)
+                    votes[form, item, p - at].append(at)
         best: dict[int, tuple] = {}
-        for (item, offset), places in votes.items():
+        for (_, item, offset), places in votes.items():
             item_id, words, kind, w, n = self.items[item]
             if len(places) < coverage * n:
                 continue

@@ -69,6 +69,16 @@ def test_slot_consistency():
     assert broken == [] or broken[0][2] < whole[2]
 
 
+def test_names_at_sentence_starts_and_copies_in_other_case():
+    names = "Tom has 5 apples. Ann has 3 apples. Tom gives Ann 2 apples. How many apples has Tom now?"
+    other = "Bob has 8 apples. Eve has 4 apples. Bob gives Eve 1 apples. How many apples has Bob now?"
+    german = "Der Bauer bringt seine Milch mit dem Wagen zum Markt und kauft dort Brot und Käse für die Kinder"
+    index, lexicon = decontaminate.Benchmark([(1, ITEM), (2, names), (3, german)]), decontaminate.Lexicon()
+    found = lambda t: [x[0] for x in index.find(t, lexicon)]
+    assert found(other) == [2] and found(german.lower()) == [3] and found(german.upper()) == [3] and found(ITEM.upper()) == [1]
+    assert found("before. " + SAME) == [1] and found(german.replace("Milch", "Butter").replace("Brot", "Salz")) == [3]
+
+
 @pytest.mark.parametrize("n", [0, 60])
 def test_pipeline_decisions(spark, tmp_path, n):
     rng = np.random.default_rng(5)
