@@ -20,13 +20,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Near copies have a Jaccard similarity of 0.8 or more over their different
     five-word shingles; all such pairs are found (``similar``), no fingerprint
-    decides. Rows with a null doc_id stay; repeated rows of a doc_id are reduced
-    to one.
+    decides. Rows with a null doc_id stay; repeated rows of a doc_id with
+    the same text are reduced to one.
     """
     groups = similar.groups(docs, width=5, similarity=0.8)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    once = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return once.unionByName(left.filter("doc_id IS NULL"))
 
 

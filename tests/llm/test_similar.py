@@ -80,3 +80,9 @@ def test_texts_of_one_repeated_line_are_not_copies(spark):
     line = f" {' '.join(unlike('l', 13))}" * 30
     texts = {k: " ".join(unlike(f"o{k}-", 100)) + line for k in range(4)}
     assert by_hand(texts) == [0, 1, 2, 3] and kept(spark, texts) == [0, 1, 2, 3]
+
+
+def test_other_text_under_a_repeated_doc_id_stays(spark):
+    a, b = (" ".join(unlike(x, 30)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b)], "doc_id BIGINT, text STRING")
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [(1, a), (1, b)]
