@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,15 +43,40 @@ def clash_free(names: list[str], wanted: str) -> str:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share."""
+    """A fresh path in the folder that driver and executors share.
+
+    Without ``spark.checkpoint.dir`` a temporary folder serves, in local mode
+    only; anywhere else executors would not see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:  # single machines and tests only
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="combforge-")
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 #: Delete a query's shuffle files when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[int, list] = {}  # session: number of writes going on, setting before them
+
+
+@contextlib.contextmanager
+def _cleanup(spark: SparkSession):
+    """CLEANUP is on while any ``written`` of the session runs; then as before."""
+    key = id(spark)
+    with _lock:
+        held = _writing.setdefault(key, [0, spark.conf.get(CLEANUP)])
+        held[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(CLEANUP, _writing.pop(key)[1])
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -57,15 +85,26 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     What was shuffled for the table is deleted at once; nothing reads it again.
     """
     spark, path = df.sparkSession, path or shared_path(df.sparkSession)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join with ``facts``, which has one row per key.
+
+    The facts of the ``HOT_KEYS`` keys of most ``weight`` are broadcast, at most
+    that many rows, so the rows of a hot key stay where they are; the others meet
+    by shuffle. Both inputs are read twice.
+    """
+    top = facts.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+    hot = rows.join(F.broadcast(top), keys)
+    return hot.unionByName(rows.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(facts, keys))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of tables that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,8 +8,6 @@
 4. Tile pairs whose population counts differ beyond the radius are never formed;
    the others are compared exactly with exclusive-or and bit counts. A tile pair
    gives a spanning forest of its links, at most as many edges as fingerprints.
-   Where the fingerprint is only an estimate of similarity, distant pairs are
-   verified on the texts: four spanning forests of them, shortest edges first.
 5. Components come from alternating large-star and small-star rounds, each
    written to the shared folder.
 
@@ -20,16 +18,17 @@ different texts put the document's component under each text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from combforge.llm.common import table, written
+from combforge.llm.common import delete, join_hot, shared_path, table, written
 
 SEED = 42
 BLOCK = 1 << 20  # comparisons held at once
@@ -119,78 +118,15 @@ def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def lightest(label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places of the edges of a minimum spanning forest over the labels (Boruvka)."""
-    order = np.argsort(d, kind="stable")
-    rank = np.empty(len(d), np.int64)
-    rank[order] = np.arange(len(d))
-    chosen = [np.zeros(0, np.int64)]
-    while True:
-        a, b = label[i], label[j]
-        e = np.flatnonzero(a != b)
-        if not len(e):
-            return np.unique(np.concatenate(chosen))
-        best = np.full(len(label), len(d))
-        np.minimum.at(best, a[e], rank[e])
-        np.minimum.at(best, b[e], rank[e])
-        chosen.append(order[np.unique(best[best < len(d)])])
-        label = merge(label, i[chosen[-1]], j[chosen[-1]])
-
-
-class Found:
-    """Links among n fingerprints as they are found, in memory linear in n.
-
-    Distances up to ``near`` are links at once and kept as components. Others
-    are pairs to be verified: of those that would connect components, the edges
-    of ``forests`` successive minimum spanning forests are kept.
-    """
-
-    def __init__(self, n: int, near: int, forests: int = 4):
-        self.label, self.near, self.forests = np.arange(n), near, forests
-        self.open: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
-        sure = d <= self.near
-        if sure.any():
-            self.label = merge(self.label, i[sure], j[sure])
-        rest = ~sure & (self.label[i] != self.label[j])
-        if rest.any():
-            self.open.append((i[rest], j[rest], d[rest]))
-            self.held += len(self.open[-1][0])
-            if self.held > 4 * self.forests * len(self.label) + BLOCK:
-                self.thin()
-
-    def thin(self) -> None:
-        i, j, d = (np.concatenate(x) for x in zip(*self.open, strict=True))
-        kept = []
-        for _ in range(self.forests):
-            own = lightest(self.label, i, j, d)
-            kept.append((i[own], j[own], d[own]))
-            left = np.ones(len(d), bool)
-            left[own] = False
-            i, j, d = i[left], j[left], d[left]
-        self.open, self.held = kept, sum(len(x[0]) for x in kept)
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node, other, sure): spanning stars of the links, then pairs to verify."""
-        node = np.flatnonzero(self.label != np.arange(len(self.label)))
-        if self.open:
-            self.thin()
-        i = np.concatenate([node, *(x[0] for x in self.open)])
-        j = np.concatenate([self.label[node], *(x[1] for x in self.open)])
-        return i, j, np.arange(len(i)) < len(node)
-
-
-def compare(a: np.ndarray, b: np.ndarray | None, radius: int, first: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks (i, j, distance) of all pairs of fingerprints (n, words) within the
-    radius over all words and within ``first`` in the first word; b None: within a."""
+def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (i, j) of all pairs of fingerprints (n, words) within the radius; b
+    None: within a."""
     own, b = b is None, a if b is None else b
     words, step = a.shape[1], max(1, BLOCK // max(1, len(b)))
     for at in range(0, len(a), step):
         right = b[at:] if own else b
         d = np.bitwise_count(a[at : at + step, None, 0] ^ right[None, :, 0])
-        i, j = np.nonzero(d <= min(radius, first))
+        i, j = np.nonzero(d <= radius)
         d, i, j = d[i, j].astype(np.int32), i + at, j + (at if own else 0)
         if own:
             below = i < j
@@ -199,34 +135,37 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int, first: int = 64) -
             d = d + np.bitwise_count(a[i, k] ^ b[j, k])
         if words > 1:
             within = d <= radius
-            d, i, j = d[within], i[within], j[within]
+            i, j = i[within], j[within]
         if len(i):
-            yield i, j, d
+            yield i, j
 
 
-def links(unique: DataFrame, words: int, radius: int, tile: int, near: int | None = None, first: int = 64, band: int = 16, salts: int = 8) -> DataFrame:
-    """(u, v, sure), u over v: edges that connect what lies within the radius.
+def links(unique: DataFrame, words: int, radius: int, tile: int, folder: str, band: int = 16, side: int = 16) -> DataFrame:
+    """(u, v), u over v: edges that connect what lies within the radius.
 
-    unique: rep and f0.., one row per different fingerprint. Edges beyond
-    ``near`` are not sure: pairs to be verified. For a large radius, classes are
-    bands of ``band`` population counts, and the tiles a class is compared with
-    are dealt to ``salts`` tasks, as few classes hold most rows.
+    unique: rep and f0.., one row per different fingerprint. For a large radius,
+    classes are bands of ``band`` population counts. A class of many tiles is cut
+    into squares of ``side`` tiles a side, so no task gets all pairs of a class.
     """
     names = [f"f{k}" for k in range(words)]
     parts = 4 if words == 1 and radius <= 3 else 1
     offsets = _neighbours(parts, radius) if parts > 1 else [(x,) for x in range((radius - 1) // band + 2)]
-    band, salts = (1, 1) if parts > 1 else (band, salts)
-    rows = unique.select("rep", *names, F.floor(_class(names, parts) / band).alias("c"))
-    counts = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))  # a row per class: 17^4 or 64 * words + 1 at most
+    rows = unique.select("rep", *names, F.floor(_class(names, parts) / (1 if parts > 1 else band)).alias("c"))
+    counts = rows.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / tile).alias("n"))  # a row per class: 17^4 or 64 * words + 1 at most
+    counts = written(counts, f"{folder}/classes")
     rows = rows.join(F.broadcast(counts), "c")
-    rows = rows.withColumn("t", F.pmod(F.xxhash64(*names), F.ceil(F.col("n") / tile)))
-    tiles = rows.groupBy("c", "t").agg(F.collect_list(F.struct("rep", *names)).alias("items"))
-    tiles = written(tiles)
+    rows = rows.withColumn("t", F.pmod(F.xxhash64(*names), "n"))
+    tiles = rows.groupBy("c", "t").agg(F.collect_list(F.struct("rep", *names)).alias("items"), F.first("n").alias("n"))
+    tiles = written(tiles, f"{folder}/tiles")
     shifts = [sum(x * 512 ** (parts - 1 - p) for p, x in enumerate(o)) for o in offsets]
     left = tiles.select("c", "t", "items", F.explode(F.array(*(F.lit(s).cast("bigint") for s in shifts))).alias("shift"))
-    left = left.select(F.col("c").alias("c1"), F.col("t").alias("t1"), F.col("items").alias("a"), (F.col("c") + F.col("shift")).alias("c"), F.pmod(F.col("t"), F.lit(salts)).alias("salt"))
-    right = tiles.select("c", "t", F.col("items").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
-    pairs = left.join(right, ["c", "salt"]).filter((F.col("c1") != F.col("c")) | (F.col("t1") <= F.col("t")))
+    left = left.select(F.col("c").alias("c1"), F.col("t").alias("t1"), F.col("items").alias("a"), (F.col("c") + F.col("shift")).alias("c"))
+    left = left.join(F.broadcast(counts), "c").withColumn("y", F.explode(_upto(F.ceil(F.col("n") / side)))).drop("n")
+    left = left.withColumn("x", F.floor(F.col("t1") / side))
+    # the left tiles of a square come from its class and from neighbours with more or fewer tiles
+    most = counts.select(F.explode(F.array(*(F.col("c") + s for s in shifts))).alias("c"), F.ceil(F.col("n") / side).alias("m")).groupBy("c").agg(F.max("m").alias("m"))
+    right = tiles.join(F.broadcast(most), "c").select("c", "t", F.col("items").alias("b"), F.floor(F.col("t") / side).alias("y"), F.explode(_upto(F.col("m"))).alias("x"))
+    pairs = left.join(right, ["c", "x", "y"]).filter((F.col("c1") != F.col("c")) | (F.col("t1") <= F.col("t")))
     pairs = pairs.select(((F.col("c1") == F.col("c")) & (F.col("t1") == F.col("t"))).alias("own"), "a", "b")
 
     def arrays(items: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -241,80 +180,65 @@ def links(unique: DataFrame, words: int, radius: int, tile: int, near: int | Non
                 ra, fa = arrays(a)
                 rb, fb = (ra, None) if own else arrays(b)
                 reps = ra if own else np.concatenate([ra, rb])
-                found = None
-                for i, j, d in compare(fa, fb, radius, first):
-                    found = found or Found(len(reps), radius if near is None else near)
-                    found.add(i, j if own else j + len(ra), d)
-                if found is not None:
-                    i, j, sure = found.edges()
-                    out.append((np.maximum(reps[i], reps[j]), np.minimum(reps[i], reps[j]), sure))
+                label = None
+                for i, j in compare(fa, fb, radius):
+                    label = merge(np.arange(len(reps)) if label is None else label, i, j if own else j + len(ra))
+                if label is not None:
+                    node = np.flatnonzero(label != np.arange(len(reps)))
+                    out.append((np.maximum(reps[node], reps[label[node]]), np.minimum(reps[node], reps[label[node]])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v"])
 
     # large tiles are one task each; small ones are many to a task
-    return pairs.mapInArrow(run, "u BIGINT, v BIGINT, sure BOOLEAN")
+    return pairs.mapInArrow(run, "u BIGINT, v BIGINT")
 
 
-def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The edges (u, v) whose texts have a Jaccard similarity of ``similarity``
-    or more over their different shingles; of several texts under one doc_id any
-    two may have it. Only texts that an edge names are read into shingles."""
+def _upto(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
-
-    asked = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = rows.join(asked, "id", "left_semi").mapInArrow(run, "id BIGINT, s ARRAY<BIGINT>").dropDuplicates(["id", "s"])
-    sets = written(sets)
-    both = edges.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)
-    return both.filter(alike).select("u", "v").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node but the roots, root the smallest of its component."""
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """(node, root) for every node but the roots, root the smallest of its component.
+
+    Large-star and small-star rounds; a hot root is met by broadcast. The tables
+    of the rounds go below ``folder``.
+    """
+    rounds = 0
+
+    def kept(table: DataFrame) -> DataFrame:
+        return written(table, f"{folder}/round-{rounds}-{uuid.uuid4().hex}")
+
+    edges = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, rounds = now, rounds + 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"))
+        large = join_hot(both, least, ["u"], "degree").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        edges = written(small.distinct())
+        edges = kept(small.distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, radius: int = 2, tile: int = 4096, doc_id: str = "doc_id", text: str = "text", near: int | None = None, similarity: float | None = None, first: int = 64) -> DataFrame:
-    """doc_id, f0.., component_id of every row.
-
-    With ``near`` and ``similarity``, fingerprints beyond ``near`` are linked
-    only if their texts are found to be that similar.
-    """
-    names = [f"f{k}" for k in range(words)]
-    marks = written(fingerprints(docs, width, words, doc_id, text))
-    unique = marks.filter("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("rep"))
-    found = marks.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("f"), F.max(F.struct(*names)).alias("g")).filter("f <> g")
-    twice = marks.join(found.select("doc_id"), "doc_id", "left_semi").join(unique, names).groupBy("doc_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("reps"))
+def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, radius: int = 2, tile: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, f0.., component_id of every row."""
+    names, folder = [f"f{k}" for k in range(words)], shared_path(docs.sparkSession)
+    marks = written(fingerprints(docs, width, words, doc_id, text), f"{folder}/marks")
+    known = marks.filter("doc_id IS NOT NULL")
+    unique = written(known.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), f"{folder}/unique")
+    found = known.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("f"), F.max(F.struct(*names)).alias("g")).filter("f <> g")
+    twice = known.join(found.select("doc_id"), "doc_id", "left_semi").join(unique, names).groupBy("doc_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("reps"))
     same = twice.select(F.explode("reps").alias("u"), "v").filter("u <> v")  # texts under one doc_id
-    edges = links(unique, words, radius, tile, near, first)
-    if near is None:
-        edges = edges.select("u", "v")
-    else:
-        edges = written(edges)
-        edges = edges.filter("sure").select("u", "v").unionByName(verified(edges.filter("NOT sure").select("u", "v").distinct(), docs, width, similarity, doc_id, text))
-    roots = components(edges.unionByName(same))
-    named = unique.join(roots, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("root", "rep").alias("component_id"))
-    return marks.join(named, names, "left").select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    roots = components(links(unique.drop("n"), words, radius, tile, folder).unionByName(same), folder)
+    named = unique.join(roots, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("root", "rep").alias("component_id"), "n")
+    named = written(named, f"{folder}/named")
+    rows = join_hot(known, named, names, "n").select("doc_id", *names, "component_id")
+    rows = written(rows.unionByName(marks.filter("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("bigint"))))
+    delete(docs.sparkSession, folder)
+    return rows
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def brute(texts):
     return {k: (f"{prints[k]:016x}", root[k]) for k in texts}
 
 
-def test_simhash_against_brute_force(spark):
+def test_simhash_against_brute_force(spark, tmp_path):
     draw = random.Random(7)
     words = [f"w{i}" for i in range(300)]
     texts = {}
@@ -73,6 +73,10 @@ def test_simhash_against_brute_force(spark):
     got = {r.doc_id: (f"{r.f0 & (2**64 - 1):016x}", r.component_id) for r in simhash.near_duplicates(df, tile=16).collect()}
     assert got == brute(texts)
     assert len({r for _, r in got.values()}) < len(got)
+    folder = f"{tmp_path}/links"
+    unique = simhash.fingerprints(df).groupBy("f0").agg(simhash.F.min("doc_id").alias("rep"))
+    sides = [simhash.components(simhash.links(unique, 1, 2, 1, f"{folder}/{n}", side=n), f"{folder}/{n}").collect() for n in (2, 16)]
+    assert sorted(map(tuple, sides[0])) == sorted(map(tuple, sides[1]))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b"), (5, "a b"), (5, "c d e f"), (3, "c d e f"), (9, "q r s t u")], "doc_id BIGINT, text STRING")
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(odd).collect()) == [(-1, -1), (3, 3), (5, 3), (5, 3), (9, 9)]
@@ -86,44 +90,3 @@ def test_wide_fingerprints_link_edited_copies(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((base, edited, other))], "doc_id BIGINT, text STRING")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, words=4, radius=44).collect()}
     assert got == {0: 0, 1: 0, 2: 2}
-
-
-def similarity(a, b):
-    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
-    return len(a & b) / len(a | b)
-
-
-def test_distant_pairs_are_verified_on_their_texts(spark):
-    draw = random.Random(11)
-    texts = {}
-    for g in range(12):
-        base = [f"w{draw.randrange(900)}" for _ in range(120)]
-        for c in range(5):  # 0 to 8 edits: similarities on both sides of 0.8
-            t = list(base)
-            for x in draw.sample(range(len(t)), 2 * c):
-                t[x] = "zz"
-            texts[len(texts)] = " ".join(t)
-    root = {k: k for k in texts}
-    changed = True
-    while changed:
-        changed = False
-        for a in texts:
-            for b in texts:
-                if root[a] > root[b] and similarity(texts[a], texts[b]) >= 0.8:
-                    root[a], changed = root[b], True
-    df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id BIGINT, text STRING, s INT")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, words=4, radius=60, near=18, similarity=0.8, first=24, tile=16).collect()}
-    assert got == root and 12 < len(set(root.values())) < len(texts)
-    assert simhash.near_duplicates(df.limit(0), width=5, words=4, radius=60, near=18, similarity=0.8).count() == 0
-
-
-def test_pairs_to_verify_stay_linear():
-    n = 600
-    found = simhash.Found(n, near=1)
-    i, j = (x.ravel() for x in simhash.np.meshgrid(range(n), range(n)))
-    up = i < j
-    found.add(i[up], j[up], simhash.np.full(up.sum(), 5))
-    u, v, sure = found.edges()
-    assert not sure.any() and len(u) <= 4 * (n - 1) and len(set(zip(u.tolist(), v.tolist()))) == len(u)
-    label = simhash.merge(simhash.np.arange(n), u, v)
-    assert set(label.tolist()) == {0}

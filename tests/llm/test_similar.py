@@ -61,6 +61,7 @@ def test_parity_never_exceeds_the_difference():
     for n in (1, 5, 200, 5000):
         a, b = (np.unique(rng.integers(0, 2 * n, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7) for _ in "ab")
         assert np.bitwise_count(similar.parity(a) ^ similar.parity(b)).sum() <= len(np.setxor1d(a, b))
+        assert 64 * len(similar.wide(a)) >= len(a) and (similar.folded(similar.wide(a), 8) == similar.parity(a)).all()
 
 
 def unlike(tag, n):
