@@ -19,15 +19,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near copies the smallest doc_id stays.
 
     Near copies have a Jaccard similarity of 0.8 or more over their different
-    five-word shingles; all such pairs are found (``similar``), no fingerprint
-    decides. Rows with a null doc_id stay; repeated rows of a doc_id with
-    the same text are reduced to one.
+    five-word shingles: SimHash tiles propose, texts decide, and an exact join
+    covers pairs whose fingerprints lie apart (``similar``). Rows with a null
+    doc_id stay; repeated rows of a doc_id with the same text are reduced to one.
+
+    Texts are shuffled once, by doc_id.
     """
     groups = similar.groups(docs, width=5, similarity=0.8)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(left.filter("doc_id IS NULL"))
+    gone = groups.groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count(F.lit(1)).alias("times"))
+    marked = gone.filter("doc_id <> root OR times > 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") != F.col("root")).alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    rows = rows.join(marked, "id", "left").filter("NOT coalesce(gone, false)")
+    once = rows.filter("gone IS NULL").select("row.*")
+    return once.unionByName(rows.filter("gone IS NOT NULL").select("row.*").dropDuplicates(["doc_id", "text"]))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
