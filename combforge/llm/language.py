@@ -9,10 +9,11 @@ memory) for all languages at a time.
 Probabilities are fitted by expectation maximisation on a bounded sample:
 ``per_language`` training texts of each language, chosen by a hash of doc_id.
 
-Words are maximal runs of letters of the whole lower-cased text. Null text and
-texts without a letter get ``und`` and score 0, as does every text when nothing
-was learned. Repeated rows are scored alike; other columns pass through; null
-doc_ids are neither held out nor trained on.
+Words are maximal runs of letters of the whole lower-cased text, of any length
+(alpha is rescaled on the way). Null text and texts without a letter get ``und``
+and score 0, as does every text when nothing was learned. Of languages that tie,
+the first in code point order is predicted. Repeated rows are scored alike; other
+columns pass through; null doc_ids are neither held out nor trained on.
 """
 
 from __future__ import annotations
@@ -32,50 +33,52 @@ from combforge.llm.common import table
 
 UNKNOWN = "und"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_PIECE = 10  # pieces up to this length form the vocabulary
-CHUNK = 24  # letters of a word scored at once, so that products stay representable
-MEMORY = 400_000  # different words remembered per task
+MEMORY, LETTERS = 400_000, 8_000_000  # different words remembered per task, and their letters
+RESCALE = 16  # letters after which alpha is rescaled
 SIEVE_BITS = 20  # size of the filter before a piece is looked up
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def read_pieces(path: str = VOCABULARY, longest: int = MAX_PIECE) -> list[str]:
-    """Lower-case letter pieces of a sentencepiece vocabulary, with the word
-    mark U+2581 where they start a word."""
+def read_pieces(path: str = VOCABULARY) -> list[str]:
+    """Lower-case letter pieces of a sentencepiece vocabulary, of any length, with
+    the word mark U+2581 where they start a word."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in every if 0 < len(p) <= longest and p == p.lower() and (p.lstrip("▁").isalpha() or p == "▁")})
+    return sorted({p for p in every if p and p == p.lower() and (p.lstrip("▁").isalpha() or p == "▁")})
 
 
-def chunks(text: str) -> list[str]:
-    """Marked words of a text, long ones cut into chunks."""
-    out = []
-    for w in WORD.findall(text.lower()):
-        if len(w) < CHUNK:
-            out.append("▁" + w)
-        else:
-            w = "▁" + w
-            out += [w[i : i + CHUNK] for i in range(0, len(w), CHUNK)]
-    return out
+def marked_words(text: str) -> list[str]:
+    return ["▁" + w for w in WORD.findall(text.lower())]
 
 
 def _codes(words: list[str]) -> np.ndarray:
     return np.array(words, f"U{len(words[0])}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
-def _rolling(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _rolling(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
     """(k, 64-bit hash of the k letters from each place), up to the longest piece."""
     mixed = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     h = mixed
-    for k in range(1, min(codes.shape[1], MAX_PIECE) + 1):
+    for k in range(1, min(codes.shape[1], longest) + 1):
         if k > 1:
             h = h[:, :-1] * np.uint64(0xBF58476D1CE4E5B9) + mixed[:, k - 1 :]
         yield k, h ^ (h >> np.uint64(29))
 
 
+def _by_length(words: list[str], letters: int = 1 << 16) -> Iterator[tuple[int, list[int]]]:
+    """(length, places) of words of one length, ``letters`` of them at most or one word."""
+    by: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by.setdefault(len(w), []).append(i)
+    for n, own in by.items():
+        step = max(1, letters // n)
+        for at in range(0, len(own), step):
+            yield n, own[at : at + step]
+
+
 @dataclass
 class Model:
     """probability: (pieces + 2, languages); row 0 is impossible, row 1 a letter
@@ -89,12 +92,10 @@ class Model:
     def __post_init__(self):
         found = np.empty(len(self.pieces), np.uint64)
         number = np.fromiter(self.pieces.values(), np.int32, len(self.pieces))
-        by: dict[int, list[int]] = {}
         names = list(self.pieces)
-        for i, p in enumerate(names):
-            by.setdefault(len(p), []).append(i)
-        for k, own in by.items():
-            found[own] = next(h for n, h in _rolling(_codes([names[i] for i in own])) if n == k)[:, 0]
+        self.longest = max(map(len, names), default=1)
+        for k, own in _by_length(names):
+            found[own] = next(h for n, h in _rolling(_codes([names[i] for i in own]), k) if n == k)[:, 0]
         order = np.argsort(found)
         self.found, self.number = found[order], number[order]
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
@@ -103,9 +104,9 @@ class Model:
     def lattice(self, words: list[str]) -> np.ndarray:
         """(words, end, length) piece numbers, for words of one length."""
         n = len(words[0])
-        ids = np.zeros((len(words), n, min(n, MAX_PIECE)), np.int32)
+        ids = np.zeros((len(words), n, min(n, self.longest)), np.int32)
         ids[:, :, 0] = 1
-        for k, h in _rolling(_codes(words)):
+        for k, h in _rolling(_codes(words), self.longest):
             w, i = np.nonzero(self.sieve[h & np.uint64((1 << SIEVE_BITS) - 1)])
             asked = h[w, i]
             at = np.minimum(np.searchsorted(self.found, asked), len(self.found) - 1)
@@ -116,19 +117,20 @@ class Model:
     def forward(self, words: list[str]) -> np.ndarray:
         """(words, languages) log probabilities, summed over segmentations."""
         out = np.empty((len(words), len(self.languages)))
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
-        for n, own in by.items():
-            for at in range(0, len(own), 4096):
-                part = own[at : at + 4096]
-                ids = self.lattice([words[i] for i in part])
-                alpha = np.zeros((n + 1, len(part), len(self.languages)))
-                alpha[0] = 1.0
-                for j in range(1, n + 1):
-                    for k in range(1, min(j, MAX_PIECE) + 1):
-                        alpha[j] += alpha[j - k] * self.probability[ids[:, j - 1, k - 1]]
-                out[part] = np.log(alpha[n])
+        for n, own in _by_length(words):
+            ids = self.lattice([words[i] for i in own])
+            size = ids.shape[2]
+            alpha = [np.ones((len(own), len(self.languages)))]  # the last ``size`` places
+            scale = np.zeros_like(alpha[0])
+            for j in range(n):
+                new = np.zeros_like(scale)
+                for k in range(1, len(alpha) + 1):
+                    new += alpha[-k] * self.probability[ids[:, j, k - 1]]
+                alpha = [*alpha, new][-size:]
+                if j % RESCALE == RESCALE - 1:
+                    scale += np.log(new)
+                    alpha = [x / new for x in alpha]
+            out[own] = np.log(alpha[-1]) + scale
         return out
 
 
@@ -139,7 +141,7 @@ def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 2, smoo
     counts = {lang: Counter() for lang in languages}
     texts = Counter(lang for lang, _ in samples)
     for lang, text in samples:
-        counts[lang].update(chunks(text))
+        counts[lang].update(marked_words(text))
     size = len(pieces) + 2
     model = Model(languages, number, np.full((size, len(languages)), 1.0 / size), np.log(np.array([texts[x] for x in languages], float) / max(1, len(samples))))
     model.probability[0] = 0
@@ -147,23 +149,24 @@ def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 2, smoo
         expected = np.zeros((size, len(languages)))
         for c, lang in enumerate(languages):
             p = model.probability[:, c]
-            by: dict[int, list[str]] = {}
-            for w in counts[lang]:
-                by.setdefault(len(w), []).append(w)
-            for n, words in by.items():
-                times = np.array([counts[lang][w] for w in words], float)
+            with np.errstate(divide="ignore"):
+                logs = np.log(p)
+            known = list(counts[lang])
+            for n, own in _by_length(known):
+                words = [known[i] for i in own]
+                times = np.log(np.array([counts[lang][w] for w in words], float))
                 ids = model.lattice(words)
-                alpha = np.zeros((n + 1, len(words)))
-                beta = np.zeros((n + 1, len(words)))
-                alpha[0] = beta[n] = 1.0
+                size = ids.shape[2]
+                alpha, beta = np.full((2, n + 1, len(words)), -np.inf)
+                alpha[0] = beta[n] = 0
                 for j in range(1, n + 1):
-                    for k in range(1, min(j, MAX_PIECE) + 1):
-                        alpha[j] += alpha[j - k] * p[ids[:, j - 1, k - 1]]
+                    for k in range(1, min(j, size) + 1):
+                        alpha[j] = np.logaddexp(alpha[j], alpha[j - k] + logs[ids[:, j - 1, k - 1]])
                 for j in range(n, 0, -1):
-                    for k in range(1, min(j, MAX_PIECE) + 1):
+                    for k in range(1, min(j, size) + 1):
                         arc = ids[:, j - 1, k - 1]
-                        beta[j - k] += beta[j] * p[arc]
-                        np.add.at(expected[:, c], arc, times * alpha[j - k] * p[arc] * beta[j] / alpha[n])
+                        beta[j - k] = np.logaddexp(beta[j - k], beta[j] + logs[arc])
+                        np.add.at(expected[:, c], arc, np.exp(times + alpha[j - k] + logs[arc] + beta[j] - alpha[n]))
         expected[0] = 0
         total = expected.sum(0)
         model.probability = (expected + smoothing) / (total + smoothing * size)
@@ -196,25 +199,27 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         number: dict[str, int] = {}
-        scores = np.zeros((0, 0))
+        scores, letters = np.zeros((0, 0)), 0
         for b in batches:
             for start in range(0, b.num_rows, 1024):
                 part = b.slice(start, 1024)
-                found = [Counter(chunks(t)) if t else {} for t in part.column(at).to_pylist()]
+                found = [Counter(marked_words(t)) if t else {} for t in part.column(at).to_pylist()]
                 langs, best = [], []
                 if m is not None:
                     new = list({w for c in found for w in c if w not in number})
-                    if len(number) + len(new) > MEMORY:
+                    if len(number) + len(new) > MEMORY or letters > LETTERS:
                         number.clear()
+                        letters = 0
                         new = list({w for c in found for w in c})
                     if not number:
                         scores = np.zeros((0, len(m.languages)))
+                    letters += sum(map(len, new))
                     number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
                     if new:
                         grown = len(scores) + len(new)
                         scores = np.concatenate([scores[: grown - len(new)], m.forward(new)])
                 for c in found:
-                    if m is None or not any(x.isalpha() for w in c for x in w[:2]):
+                    if m is None or not any(x.isalpha() for w in c for x in w):
                         langs.append(UNKNOWN)
                         best.append(0.0)
                         continue
@@ -233,9 +238,9 @@ def trained(docs: DataFrame, vocabulary: str = VOCABULARY, per_language: int = 1
     return fit(found, read_pieces(vocabulary)) if found else None
 
 
-def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_language(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text"), trained(docs))
+    found = identify(docs.select("doc_id", "text"), trained(docs, vocabulary))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

@@ -28,13 +28,24 @@ def test_forward_sums_all_segmentations():
             total += p
     assert np.allclose(m.forward([word])[0], np.log(total))
     assert np.allclose(m.probability.sum(0), 1, atol=1e-3)
-    assert all(math.isfinite(x) for x in m.forward(["▁" + "q" * 23, "ж"]).ravel())
+    assert all(math.isfinite(x) for x in m.forward(["▁" + "q" * 23, "ж", "▁" + "the" * 2000]).ravel())
+
+
+def test_words_of_any_length_are_summed_whole():
+    m = language.fit([("a", "ab abc cab"), ("b", "ba bca")], ["▁", "▁a", "▁ab", "a", "ab", "abc", "b", "bc", "abcabcabcabca"])
+    word = "▁" + "abcab" * 12
+    total = [[1.0] + [0.0] * len(word) for _ in m.languages]
+    for c in range(2):
+        for j in range(1, len(word) + 1):
+            total[c][j] = math.fsum(total[c][i] * m.probability[m.pieces.get(word[i:j], 1 if j - i == 1 else 0), c] for i in range(j))
+    assert len(word) == 61 and np.allclose(m.forward([word])[0], np.log([t[-1] for t in total]))
 
 
 def test_identify(spark):
     rows = [(1, "The dogs and the house", "x"), (2, "die katzen nach hause", None), (3, None, "x"), (4, "", "x"), (5, "12 34 _ !", "x"), (None, EN, "x"), (7, "the house " * 20000, "x"), (7, "the house " * 20000, "x")]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, score STRING")
     got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(df, model()).collect()]
+    assert language.identify(spark.createDataFrame([("²the dog",), ("²",)], "text STRING"), model()).select("lang_pred").collect() == [("en",), ("und",)]
     assert [g[1] for g in got] == ["en", "de", "und", "und", "und", "en", "en", "en"] and all(0 <= g[2] <= 1 for g in got)
     assert {r.lang_pred for r in language.identify(df, None).collect()} == {"und"}
     assert language.identify(df.limit(0), model()).count() == 0
