@@ -4,12 +4,15 @@ Each row draws an exponential key scaled by its quality weight. Within a source
 rows are taken in key order up to a token budget; a budget of several times the
 source is first spent on complete epochs, and only the rest is a selection.
 
-The prefix sums are distributed: keys fall into ``buckets`` steps of their
-distribution, the sums of (source, step) give offsets, and only inside a step
-are rows sorted. A hot source is thus spread over all steps.
+The prefix sums are distributed: keys fall into steps of equal counts, whatever
+the weights, the sums of (source, step) give offsets, and only inside a step are
+rows sorted. A hot source is thus spread over all steps. The steps are runs of
+``CELLS`` logarithmic cells an octave; a cell holds at most 1 in 16,000 of the
+rows, so up to that many steps stay even.
+There is a step for every ``STEP_ROWS`` rows, ``buckets`` at least.
 
 Null text has size 0. A null source is a source of its own, last in order. A
-null or non-positive quality weighs ``default_weight``. Repeated rows are rows
+null, non-positive or infinite quality weighs ``default_weight``. Repeated rows are rows
 of their own. The document that straddles a budget is taken if at least half of
 it fits, so a source misses its target by half a document at most.
 """
@@ -23,6 +26,8 @@ from combforge.llm.common import table, unit_hash
 
 SEED = "mix-1"
 MAX_EPOCHS = 3
+CELLS = 4096  # an octave of the keys
+STEP_ROWS = 50_000
 DEFAULT_WEIGHT = 0.5
 
 
@@ -50,6 +55,20 @@ def targets(rows: DataFrame) -> DataFrame:
     return s.select("no_source", "source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def even_steps(rows: DataFrame, least: int) -> DataFrame:
+    """(cell, step): runs of cells with about equal counts of rows.
+
+    Keys lie between 2^-53 and 2^6 over the weight, so there are at most some
+    60 * CELLS cells for each octave of weights; half of all keys lie in two octaves.
+    """
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    everything = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("cell", before.alias("before"), F.sum("n").over(everything).alias("of"))
+    steps = F.greatest(F.lit(least), F.col("of") / STEP_ROWS)
+    return cells.select("cell", F.floor(F.col("before") * steps / F.col("of")).cast("int").alias("step"))
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", buckets: int = 1024, seed: str = SEED, default_weight: float = DEFAULT_WEIGHT, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: ``row`` (the columns of ``keep``), size,
     source_size, target, copies (how often the mix takes it), taken.
@@ -66,11 +85,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
     else:
         w = weights.groupBy(F.col("doc_id").alias("wid")).agg(F.max("weight").alias("weight"))
         rows = rows.join(w, F.col("id") == F.col("wid"), "left").drop("wid")
-    weight = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(F.lit(float(default_weight)))
+    weight = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight").cast("double")).otherwise(F.lit(float(default_weight)))
     u = (unit_hash(seed, F.col("id")) + F.lit(0.5)) / F.lit(float(2**52))
     rows = rows.withColumn("key", -F.log(u) / weight)
-    step = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    rows = rows.withColumn("step", step)
+    rows = rows.withColumn("cell", F.coalesce(F.floor(F.log2("key") * CELLS), F.lit(-64 * CELLS)).cast("int"))
+    rows = rows.join(F.broadcast(even_steps(rows, buckets)), "cell")
     by = ["no_source", "source"]
     steps = rows.groupBy(*by, "step").agg(F.sum("size").alias("step_size"))
     running = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
