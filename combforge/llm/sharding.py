@@ -6,7 +6,8 @@ of equal counts, so every shard holds each source in proportion.
 
 Both ranks are distributed: rows fall into steps by hash (by fractional rank the
 second time), counts of steps give offsets, and only a step is sorted within a
-task. A hot source is spread over all steps.
+task. A hot source is spread over all steps; there is a step for every 16,384
+rows, from 4,096 to 2^20 steps.
 
 Null text has 8 bytes of size and CRC 0; a null source is a source of its own;
 null doc_ids and repeated rows are rows of their own.
@@ -23,8 +24,13 @@ SHARDS = 24
 SEED = "shard-1"
 
 
-def interleave(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", source: str = "source", steps: int = 4096, seed: str = SEED) -> DataFrame:
-    """``row`` (the input columns), shard (from 0), slot (gapless from 0 in a shard)."""
+def interleave(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", source: str = "source", steps: int | None = None, seed: str = SEED) -> DataFrame:
+    """``row`` (the input columns), shard (from 0), slot (gapless from 0 in a shard).
+
+    steps: a power of two.
+    """
+    if steps is None:
+        steps = min(1 << 20, max(4096, 1 << (docs.count() >> 14).bit_length()))
     src = F.col(f"`{source}`").cast("string")
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("id"), src.isNull().alias("no_source"), F.coalesce(src, F.lit("")).alias("source"), unit_hash(seed, F.col(f"`{doc_id}`")).alias("h"))
     rows = rows.withColumn("step", F.shiftright("h", 52 - (steps - 1).bit_length()).cast("int"))

@@ -121,3 +121,27 @@ def test_the_mix_repeats_rows_as_often_as_decided(spark):
         want[key(r.row)] += r.copies
     assert got == +want
     assert mixing.repeated(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("weight", [0.25, 0.5, 1.0])
+def test_steps_of_the_mix_are_even(spark, weight):
+    keys = spark.range(200_000).select((-mixing.F.log((mixing.unit_hash("t", mixing.F.col("id")) + 0.5) / float(2**52)) / weight).alias("key"))
+    keys = keys.select(mixing.F.floor(mixing.F.log2("key") * mixing.CELLS).cast("int").alias("cell"), "key")
+    steps = keys.join(mixing.even_steps(keys, 256), "cell").groupBy("step").agg(mixing.F.count("*").alias("n"), mixing.F.min("key").alias("a"), mixing.F.max("key").alias("z")).orderBy("step").collect()
+    assert max(s.n for s in steps) <= 2 * 200_000 / 256 and all(x.z <= y.a for x, y in zip(steps, steps[1:]))
+
+
+def test_order_of_the_shards_against_brute_force(spark):
+    rows = [(i, str(i), None if i % 11 == 0 else f"s{i % 3 % 2}") for i in range(700)] + [(5, "5", "s0"), (5, "5", "s0"), (None, "n", "s1")]
+    got = {}
+    for r in sharding.interleave(frame(spark, rows), shards=7, steps=64).select("row.*", "shard", "slot").collect():
+        got[r.shard, r.slot] = (r.doc_id, r.source)
+    h = lambda i: int(hashlib.md5(f"{sharding.SEED}:{'' if i is None else i}".encode()).hexdigest()[:13], 16)
+    none_first = lambda i: (i is not None, i or 0)
+    placed = []
+    for s in {r[2] for r in rows}:
+        own = sorted((r[0] for r in rows if r[2] == s), key=lambda i: (h(i), none_first(i)))
+        placed += [((2 * k + 1) / (2 * len(own)), s is None, s or "", h(i), none_first(i), (i, s)) for k, i in enumerate(own)]
+    want = [p[-1] for p in sorted(placed, key=lambda p: p[:-1])]
+    shards = [k * 7 // len(want) for k in range(len(want))]
+    assert got == {(s, k - shards.index(s)): x for k, (s, x) in enumerate(zip(shards, want))}
