@@ -7,9 +7,8 @@ source is first spent on complete epochs, and only the rest is a selection.
 The prefix sums are distributed: keys fall into steps of equal counts, whatever
 the weights, the sums of (source, step) give offsets, and only inside a step are
 rows sorted. A hot source is thus spread over all steps. The steps are runs of
-``CELLS`` logarithmic cells an octave; a cell holds at most 1 in 16,000 of the
-rows, so up to that many steps stay even.
-There is a step for every ``STEP_ROWS`` rows, ``buckets`` at least.
+``CELLS`` logarithmic cells an octave, and a cell holds at most 1 in 16,000 of
+the rows. There is a step for every ``STEP_ROWS`` rows, ``buckets`` at least.
 
 Null text has size 0. A null source is a source of its own, last in order. A
 null, non-positive or infinite quality weighs ``default_weight``. Repeated rows are rows

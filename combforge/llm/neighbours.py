@@ -3,18 +3,19 @@
 1. Vectors are projected by seeded random rotations, shifted, quantised and put
    on Hilbert curves; one ordering per curve. The quantiser's ranges come from a
    bounded sample (``SAMPLE`` vectors by hash of vec_id); every vector is indexed.
-2. Spark range-partitions each ordering into windows of about ``WINDOW`` vectors.
+2. Spark range-partitions the orderings into windows of about ``WINDOW`` vectors.
    A query is compared with its own window and both neighbours on every curve;
-   the results merge and give a threshold: its k-th best score so far.
-3. The rest is exact: a window of the first curve whose bound q.c + |q|r (centre,
-   radius) reaches the threshold is visited too, in blocks. So recall is 1, and
-   the curves decide how much the last step has to read: on clustered vectors
-   little, on isotropic ones nearly all.
-
-Scores are inner products in double precision; ties go to the smaller vec_id.
-Null, zero and non-finite vectors and those of a length other than the most
-common one take no part. A vec_id that repeats counts once, with its smallest
-vector. An empty table gives no rows.
+   the results merge and are ranked by their exact scores.
+3. Curves are added, ``CURVES`` a round, until ``target`` of the true neighbours
+   of ``PROBE`` queries (chosen by hash, searched by brute force) are found. So
+   the recall is measured on the data at hand; how many curves that takes depends
+   on them: few on clustered vectors, many on isotropic ones.
+
+Scores are inner products in double precision; ties go to the smaller vec_id. Of
+equal vectors the ``k`` + 1 smallest vec_ids can be answers, so only these are
+indexed; all ask. Null, zero and non-finite vectors and those of a length other
+than the most common one take no part. A vec_id that repeats counts once, with
+its smallest vector. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from combforge.llm.common import table, written
+from combforge.llm.common import delete, shared_path, table, written
 
-CURVES, DIMENSIONS, BITS = 3, 6, 9
-WINDOW, QUERIES_AT_ONCE, SAMPLE = 8192, 65536, 4096
+CURVES, DIMENSIONS, BITS = 8, 6, 9
+WINDOW, SAMPLE, PROBE, TARGET = 1024, 4096, 128, 0.95
 SEED = 11
 
 
@@ -110,15 +111,42 @@ def _found(rows: list) -> pa.Table:
 FOUND = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
 
 
-def _compare(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """rows: keys, vec_id, v, is_query. Every query of a key against its vectors."""
+def _compare(rows: DataFrame, k: int) -> DataFrame:
+    """rows: c, w, is_query, vec_id, v. Every query of a window of a curve against
+    its vectors; memory holds one window and a batch of queries."""
 
-    def run(group: pa.Table) -> pa.Table:
-        asks = group.column("is_query").to_numpy()
-        ids, v = group.column("vec_id").to_numpy(), _matrix(group.column("v"))
-        return _found(best(ids[asks], v[asks], ids[~asks], v[~asks], k) if asks.any() and not asks.all() else [])
+    def run(batches):
+        key, held, ids, x = None, [], None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c, w, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            own, v = b.column(3).to_numpy(), _matrix(b.column(4))
+            cuts = np.flatnonzero((c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(c)], strict=True):
+                if key != (c[lo], w[lo]):
+                    key, held, x = (c[lo], w[lo]), [], None
+                if not asks[lo]:
+                    held.append((own[lo:hi], v[lo:hi]))
+                elif held:
+                    if x is None:
+                        ids, x = (np.concatenate(y) for y in zip(*held, strict=True))
+                    yield from _found(best(own[lo:hi], v[lo:hi], ids, x, k)).to_batches()
+
+    return rows.repartition("c", "w").sortWithinPartitions("c", "w", "is_query").select("c", "w", "is_query", "vec_id", "v").mapInArrow(run, FOUND)
+
+
+def _brute(indexed: DataFrame, probes: list, k: int) -> DataFrame:
+    """The true neighbours of a bounded number of queries."""
+    shared = indexed.sparkSession.sparkContext.broadcast((np.array([p[0] for p in probes], np.int64), np.array([p[1] for p in probes], np.float64)))
+
+    def run(batches):
+        q_ids, q = shared.value
+        for b in batches:
+            if b.num_rows:
+                yield from _found(best(q_ids, q, b.column(0).to_numpy(), _matrix(b.column(1)), k)).to_batches()
 
-    return rows.groupBy(*keys).applyInArrow(run, FOUND)
+    return _top(indexed.select("vec_id", "v").mapInArrow(run, FOUND), k)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -126,12 +154,12 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", window: int = WINDOW, exact: bool = True) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k nearest other rows.
+def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", window: int = WINDOW, curves: int = CURVES, target: float = TARGET) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of the k nearest other rows found.
 
-    is_query: a condition on ``vec_id``. exact=False stops after the curves.
+    is_query: a condition on ``vec_id``. With one window the result is exact.
     """
-    spark = vectors.sparkSession
+    spark, folder = vectors.sparkSession, shared_path(vectors.sparkSession)
     v = F.col(f"`{vector}`")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & fine)
@@ -139,58 +167,40 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", v
     if sizes is None:
         return spark.createDataFrame([], "query_id BIGINT, rank INT, vec_id BIGINT, score DOUBLE")
     rows = rows.filter(F.size("v") == sizes["d"]).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    shared = spark.sparkContext.broadcast(Curves(np.array(sample, np.float64)))
-
-    def index(batches):
-        for b in batches:
-            keys = shared.value.keys(_matrix(b.column(1))) if b.num_rows else [np.zeros(0, np.int64)] * CURVES
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, keys)], names=["vec_id", "v", *(f"k{c}" for c in range(CURVES))])
-
-    kind = rows.schema["v"].dataType.simpleString()
-    indexed = written(rows.mapInArrow(index, f"vec_id BIGINT, v {kind}, " + ", ".join(f"k{c} BIGINT" for c in range(CURVES))).withColumn("is_query", is_query(F.col("vec_id"))))
-    counts = indexed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("bigint")).alias("q")).first()
-    windows = -(-counts["n"] // window)
-    found, first = None, None
-    for c in range(CURVES):
-        placed = written(indexed.select("vec_id", "v", "is_query", f"k{c}").repartitionByRange(windows, f"k{c}", "vec_id").select("vec_id", "v", "is_query", F.spark_partition_id().alias("w")))
-        first = first or placed
-        asks = placed.filter("is_query").select("vec_id", "v", "is_query", F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"))
-        part = _compare(placed.withColumn("is_query", F.lit(False)).unionByName(asks), ["w"], k)
-        found = part if found is None else found.unionByName(part)
-    found = written(_top(found, k))
-    if not exact:
-        return found.select("query_id", "rank", "vec_id", "score")
-
-    def ball(group: pa.Table) -> pa.Table:
-        x = _matrix(group.column("v"))
-        centre = x.mean(0)
-        return pa.table({"w": pa.array([group.column("w")[0].as_py()], pa.int32()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([float(np.sqrt(((x - centre) ** 2).sum(1).max()))])})
-
-    # one row per window: the collection grows as vectors / window * dimension
-    balls = first.groupBy("w").applyInArrow(ball, "w INT, centre ARRAY<DOUBLE>, radius DOUBLE").collect()
-    bounds = spark.sparkContext.broadcast((np.array([b.w for b in balls], np.int32), np.array([b.centre for b in balls]), np.array([b.radius for b in balls])))
-    reached = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("edge"))
-    asks = first.filter("is_query").join(reached, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "w", F.when(F.col("n") >= k, F.col("edge")).alias("edge"))
-
-    def visits(batches):
-        ws, centres, radii = bounds.value
-        for b in batches:
-            q = _matrix(b.column(1))
-            if not len(q):
-                continue
-            own, edge = b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False).astype(float)
-            norm = np.sqrt((q * q).sum(1))[:, None]
-            reach = q @ centres.T + norm * radii[None, :]
-            go = ~(reach < edge[:, None] - 1e-9 * norm * (1 + radii[None, :])) & (np.abs(ws[None, :] - own[:, None]) > 1)
-            i, j = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(ws[j])], names=["vec_id", "v", "w"])
-
-    chunks = max(1, -(-(counts["q"] or 0) // QUERIES_AT_ONCE))
-    asks = asks.mapInArrow(visits, f"vec_id BIGINT, v {kind}, w INT").select("vec_id", "v", "w", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("is_query"))
-    blocks = first.select("vec_id", "v", "w", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("is_query"))
-    more = _compare(blocks.unionByName(asks), ["w", "chunk"], k)
-    return _top(found.select("query_id", "vec_id", "score").unionByName(more), k).select("query_id", "rank", "vec_id", "score")
+    same = Window.partitionBy("v").orderBy("vec_id")
+    indexed = written(rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1).select("vec_id", "v"), f"{folder}/indexed")
+    asking = written(rows.filter(is_query(F.col("vec_id"))), f"{folder}/asking")
+    chosen = lambda df, n: df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()
+    sample, probes = np.array([r.v for r in chosen(indexed, SAMPLE)], np.float64), chosen(asking, PROBE)
+    if not probes:
+        return spark.createDataFrame([], "query_id BIGINT, rank INT, vec_id BIGINT, score DOUBLE")
+    truth = written(_brute(indexed, probes, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("edge")), f"{folder}/truth")
+    windows = -(-indexed.count() // window)
+    both = indexed.withColumn("is_query", F.lit(False)).unionByName(asking.withColumn("is_query", F.lit(True)))
+    found, rounds, kind = None, 0, rows.schema["v"].dataType.simpleString()
+    while True:
+        of = 1 if windows == 1 else curves
+        shared = spark.sparkContext.broadcast(Curves(sample, of, seed=SEED + rounds))
+
+        def index(batches, shared=shared, of=of):
+            for b in batches:
+                for c, keys in enumerate(shared.value.keys(_matrix(b.column(1))) if b.num_rows else []):
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.full(len(keys), c, np.int32)), pa.array(keys)], names=["vec_id", "v", "is_query", "c", "key"])
+
+        keyed = both.mapInArrow(index, f"vec_id BIGINT, v {kind}, is_query BOOLEAN, c INT, key BIGINT")
+        placed = keyed.repartitionByRange(windows * of, "c", "key", "vec_id").select("c", "is_query", "vec_id", "v", F.spark_partition_id().alias("w"))
+        placed = written(placed, f"{folder}/placed-{rounds}")
+        asks = placed.filter("is_query").withColumn("w", F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)))
+        part = _compare(placed.filter("NOT is_query").unionByName(asks), k)
+        found = written(_top(part if found is None else found.select("query_id", "vec_id", "score").unionByName(part), k), f"{folder}/found-{rounds}")
+        delete(spark, f"{folder}/placed-{rounds}")
+        seen = found.join(F.broadcast(truth), "query_id").agg(F.sum((F.col("score") >= F.col("edge")).cast("bigint"))).first()[0] or 0
+        if seen >= target * (truth.agg(F.sum("n")).first()[0] or 0) or windows == 1:
+            break
+        rounds += 1
+    out = written(found.select("query_id", "rank", "vec_id", "score"))
+    delete(spark, folder)
+    return out
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

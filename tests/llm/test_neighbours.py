@@ -19,7 +19,7 @@ def test_nearest_against_brute_force(spark):
     rows += [(1000, None, "x"), (1020, [0.0] * 8, "x"), (1040, [float("nan")] * 8, "x"), (1060, [1.0, None] + [1.0] * 6, "x"), (1080, [1.0], "x"), (None, [1.0] * 8, "x"), (0, rows_0(x), "x")]
     df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, rank STRING")
     got = {}
-    for r in neighbours.nearest(df, lambda i: i % 20 == 0, k=10, window=64).collect():
+    for r in neighbours.nearest(df, lambda i: i % 20 == 0, k=10).collect():  # one window: exact
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     y = x.astype(float)
     assert set(got) == set(range(0, 700, 20))
@@ -31,6 +31,27 @@ def test_nearest_against_brute_force(spark):
     assert neighbours.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
     few = neighbours.nearest(df.filter("vec_id < 3"), lambda i: i % 20 == 0)
     assert [(r.query_id, r.rank) for r in few.orderBy("rank").collect()] == [(0, 1), (0, 2)]
+    assert neighbours.nearest(df.filter("vec_id % 20 <> 0"), lambda i: i % 20 == 0).count() == 0
+    tied = {}
+    for r in neighbours.nearest(df, lambda i: i % 20 == 0, k=10, window=32).collect():  # 16 windows, equal vectors in many of them
+        tied.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(100, 300, 20):
+        assert [i for _, i in sorted(tied[q])] == [i for i in range(100, 111) if i != q][:10]
+
+
+def test_recall_of_many_small_windows(spark):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(2400, 24))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = neighbours.nearest(df, lambda i: i % 20 == 0, window=75).collect()  # 32 windows
+    hits = 0
+    for q in range(0, 2400, 20):
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.9 * 120 * 20
+    assert all(abs(r.score - float(x[r.vec_id] @ x[r.query_id])) < 1e-12 for r in got)
 
 
 def rows_0(x):
