@@ -156,14 +156,14 @@ def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 2, smoo
                 words = [known[i] for i in own]
                 times = np.log(np.array([counts[lang][w] for w in words], float))
                 ids = model.lattice(words)
-                size = ids.shape[2]
+                most = ids.shape[2]
                 alpha, beta = np.full((2, n + 1, len(words)), -np.inf)
                 alpha[0] = beta[n] = 0
                 for j in range(1, n + 1):
-                    for k in range(1, min(j, size) + 1):
+                    for k in range(1, min(j, most) + 1):
                         alpha[j] = np.logaddexp(alpha[j], alpha[j - k] + logs[ids[:, j - 1, k - 1]])
                 for j in range(n, 0, -1):
-                    for k in range(1, min(j, size) + 1):
+                    for k in range(1, min(j, most) + 1):
                         arc = ids[:, j - 1, k - 1]
                         beta[j - k] = np.logaddexp(beta[j - k], beta[j] + logs[arc])
                         np.add.at(expected[:, c], arc, np.exp(times + alpha[j - k] + logs[arc] + beta[j] - alpha[n]))
