@@ -1,11 +1,12 @@
 import math
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from combforge.llm import decontaminate, language
+from combforge.llm import decontaminate, language, mixing, sharding
 
 EN = "the cat and the dog went to the house with their friends because they were hungry"
 DE = "der hund und die katze gingen mit ihren freunden nach hause weil sie hunger hatten"
@@ -68,26 +69,99 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, bench).collect()}
     assert set(got) == {(1, 10), (2, 10), (None, 10), (6, 10), (7, 11)}
     assert got[2, 10].reparameterised and not got[1, 10].reparameterised and got[6, 10].start_word == 30000
-    blocks = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, block_chars=40).collect()}
-    assert blocks == set(got)
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3, 4, 5]
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs.limit(0), bench).count() == 0
 
 
-def test_slot_consistency():
-    index, lexicon = decontaminate.Benchmark([(1, ITEM)]), decontaminate.Lexicon()
-    whole, broken = index.find(SAME, lexicon)[0], index.find(BROKEN, lexicon)
-    assert broken == [] or broken[0][2] < whole[2]
-
-
-def test_names_at_sentence_starts_and_copies_in_other_case():
+def found(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id BIGINT, text STRING")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, bench).collect()}
+
+
+def canon(text):
+    """Symbols of a text and the value of each placeholder, word by word."""
+    words = text.split()
+    strip = [w.strip(decontaminate._OUTER) or w for w in words]
+    starts = [i == 0 or words[i - 1][-1] in ".!?:…" for i in range(len(words))]
+    number = [any(c.isdigit() for c in w) for w in strip]
+    unit = [i > 0 and number[i - 1] and not number[i] and w.lower() in decontaminate.UNITS for i, w in enumerate(strip)]
+    capital = [w[0].isupper() and not number[i] and not unit[i] for i, w in enumerate(strip)]
+    inside = {w.lower() for i, w in enumerate(strip) if capital[i] and not starts[i]}
+    low = {w.lower() for w in strip if not w[0].isupper()}
+    name = [capital[i] and (not starts[i] or (w.lower() in inside and w.lower() not in low)) for i, w in enumerate(strip)]
+    out = []
+    for i, w in enumerate(strip):
+        if unit[i] or (i and name[i] and name[i - 1] and not starts[i]):
+            out[-1][1] += "" if unit[i] else " " + w.lower()
+        else:
+            out.append(["#" if number[i] else "@" if name[i] else w.lower(), w.lower() if number[i] or name[i] else ""])
+    return [x[0] for x in out], [x[1] for x in out], [w.lower() for w in strip]
+
+
+def longest(hits):
+    best = {}
+    for p, a in sorted(hits):
+        best[p, a] = 1 + max((n for (q, b), n in best.items() if q < p and b < a and abs(p - a - q + b) <= 3), default=0)
+    return max(best.values(), default=0)
+
+
+def brute(text, item):
+    """Matched windows of the better form, as far as slots agree; None: not found."""
+    (h, value, plain), (g, mine, whole) = canon(text), canon(item)
+    out = []
+    for own, other, form in ((h, g, 0), (plain, whole, 1)):
+        w = min(5, len(other))
+        ats = [a for a in range(len(other) - w + 1) if form or set(other[a : a + w]) - {"#", "@"}]
+        hits = [(p, a) for p in range(len(own) - w + 1) for a in ats if own[p : p + w] == other[a : a + w]]
+        if not form:
+            pairs = {(a + k, p + k) for p, a in hits for k in range(w) if other[a + k] in "#@"}
+            for m in set(mine) - {""}:
+                values = {value[q] for a, q in pairs if mine[a] == m}
+                assert len(values) <= 1  # slots that disagree are tested apart
+        run = max((sum((p + k, a + k) in hits for k in range(16)) for p, a in hits), default=0)
+        n = longest(hits)
+        if n and (n >= 0.5 * len(ats) or (form and run == 16)):
+            out.append((n / len(ats), n))
+    return max(out)[1] if out else None
+
+
+def test_leaks_against_brute_force(spark):
+    draw = np.random.default_rng(8)
+    word = lambda: "".join(draw.choice(list("abcdefgh"), 5))
+    items = ["Once Tom Ray bought 88 kg of " + " ".join(word() for _ in range(n)) + f" and Ann sold {n} of them to Tom Ray for 7 euros" for n in (3, 12, 45)] + ["one two", "4 5 6 7 8 9", "Zed"]
+    texts = []
+    for i in items:
+        w = i.split()
+        noise = lambda: " ".join(word() for _ in range(6))
+        texts += [f"{noise()}. {x} {noise()}" for x in (i, i.lower(), i.upper(), i.replace("Tom Ray", "Jim").replace("88 kg", "9").replace("Ann", "Mary Lou"), " ".join(w[: len(w) // 2] + ["xx", "yy"] + w[len(w) // 2 :]), " ".join(w[: len(w) * 2 // 5]), " ".join(w[5:27]))]
+    texts += ["1 2 3 4 5 6 7 8 9 " * 50, "nothing at all of the kind", f"{items[0]}. {items[3]}. Zed"]
+    got = {k: r.n_matched for k, r in found(spark, texts, items).items()}
+    want = {(d, i): brute(t, x) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    assert got == {k: n for k, n in want.items() if n} and len(got) > 15
+
+
+def test_slot_consistency(spark):
+    got = found(spark, [SAME, BROKEN], [ITEM])
+    assert (1, 0) not in got or got[1, 0].n_matched < got[0, 0].n_matched
+
+
+def test_slots_of_another_length_insertions_and_verbatim_runs(spark):
+    other = ITEM.replace("Boston", "New York").replace("Alice", "Mary Ann").replace("9", "12").replace("300", "410")
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdef"), 7)) for _ in range(59)]
+    long = " ".join(words)
+    inserted = " ".join([*words[:20], "one", "two", *words[20:40], "three", "four", *words[40:]])
+    got = found(spark, ["before. " + other, inserted, "x y " + " ".join(words[10:31]) + " z", " ".join(words[10:26])], [ITEM, long])
+    assert set(got) == {(0, 0), (1, 1), (2, 1)} and got[0, 0].reparameterised
+
+
+def test_names_at_sentence_starts_and_copies_in_other_case(spark):
     names = "Tom has 5 apples. Ann has 3 apples. Tom gives Ann 2 apples. How many apples has Tom now?"
     other = "Bob has 8 apples. Eve has 4 apples. Bob gives Eve 1 apples. How many apples has Bob now?"
     german = "Der Bauer bringt seine Milch mit dem Wagen zum Markt und kauft dort Brot und Käse für die Kinder"
-    index, lexicon = decontaminate.Benchmark([(1, ITEM), (2, names), (3, german)]), decontaminate.Lexicon()
-    found = lambda t: [x[0] for x in index.find(t, lexicon)]
-    assert found(other) == [2] and found(german.lower()) == [3] and found(german.upper()) == [3] and found(ITEM.upper()) == [1]
-    assert found("before. " + SAME) == [1] and found(german.replace("Milch", "Butter").replace("Brot", "Salz")) == [3]
+    texts = [other, german.lower(), german.upper(), ITEM.upper(), "before. " + SAME, german.replace("Milch", "Butter").replace("Brot", "Salz")]
+    assert set(found(spark, texts, ["", ITEM, names, german])) == {(0, 2), (1, 3), (2, 3), (3, 1), (4, 1), (5, 3)}
 
 
 @pytest.mark.parametrize("n", [0, 60])
@@ -110,7 +184,20 @@ def test_pipeline_decisions(spark, tmp_path, n):
         left.append(sorted(r.doc_id for r in docs.collect()))
     if n:
         assert left[0] == sorted([0, *range(n), 100, 101, 102])
-        assert left[1] == [*range(n)] or left[1] == [*range(n), 102]
+        sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in (texts[2], texts[2] + " " + item)]
+        assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])  # so 102 is no near copy
+        assert left[1] == [*range(n), 102]
         assert left[2] == [*range(n)]
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} <= set(range(n)) and (n == 0 or len(out) > n // 2)
+    taken = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    decided = mixing.mix(docs, mixing.quality_weights(spark, str(tmp_path))).select("row.doc_id", "copies").collect()
+    assert Counter(r.doc_id for r in taken) == +Counter({r.doc_id: r.copies for r in decided})
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    out = out.collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in taken)
+    order = [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+    sizes = Counter(r.shard for r in out)
+    assert not out or max(sizes.values()) - min(sizes[s] for s in range(24)) <= 1
+    assert order == [r.doc_id for r in sharding.interleave(spark.createDataFrame(taken, docs.schema)).select("row.doc_id", "shard", "slot").orderBy("shard", "slot").collect()]
+    clash = corpus_pipeline.cut_shards(spark, docs.withColumn("SHARD", corpus_pipeline.F.lit("x")), str(tmp_path))
+    assert clash.columns == [*docs.columns, "SHARD", "shard_", "slot"] and clash.count() == n
