@@ -14,6 +14,7 @@ DEFAULT_BATCH_SIZE = 500
 METHODS = ("exact", "cms", "cms_verified")
 OVERLAPS = ("reject", "allow")
 SCOPES = ("global", "prefix", "partition")
+PLANS = ("explode", "join")
 
 
 def require(condition: bool, message: str) -> None:
@@ -26,7 +27,8 @@ class MiningConfig:
     """All knobs of a mining run.
 
     ``batch_size`` is accepted for API compatibility and only feeds the memory
-    report: Spark partitions take the place of batches.
+    report: Spark partitions take the place of batches. ``plan`` "join" suits
+    sequences of very many items, whose rest every exploded row would carry.
     """
 
     delta: float = DEFAULT_DELTA
@@ -42,6 +44,7 @@ class MiningConfig:
     count_scope: str = "global"
     partition_width: int = 10
     max_combinations: int | None = None
+    plan: str = "explode"
 
     def __post_init__(self) -> None:
         require(0 < self.delta < 1, "delta must be in (0, 1)")
@@ -53,6 +56,7 @@ class MiningConfig:
         require(self.method in METHODS, f"method must be one of {METHODS}")
         require(self.overlap in OVERLAPS, f"overlap must be one of {OVERLAPS}")
         require(self.count_scope in SCOPES, f"count_scope must be one of {SCOPES}")
+        require(self.plan in PLANS, f"plan must be one of {PLANS}")
         require(self.cms_rows_used in ("all", "first"), "cms_rows_used must be 'all' or 'first'")
         require(self.filter_len is None or self.filter_len >= 0, "filter_len must not be negative")
 

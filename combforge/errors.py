@@ -13,6 +13,10 @@ class SchemaError(CombForgeError, ValueError):
     """The input has neither the ordinary nor the positional feature layout."""
 
 
+class EmptyInputError(SchemaError, InvalidConfigurationError):
+    """The input holds no sequence."""
+
+
 class EnumerationTooLargeError(CombForgeError, RuntimeError):
     """The predicted number of combinations exceeds the configured limit."""
 

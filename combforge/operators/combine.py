@@ -83,13 +83,13 @@ def enumerate_combinations(sequences: DataFrame, k: int, case: str, filter_len:
     return df.select(*out, *carry)
 
 
-def enumerate_by_join(sequences: DataFrame, k: int, case: str, filter_len: int | None = None, overlap: str = "reject") -> DataFrame:
+def enumerate_by_join(sequences: DataFrame, k: int, case: str, filter_len: int | None = None, overlap: str = "reject", carry: tuple[str, ...] = ()) -> DataFrame:
     """The same rows by a left-deep self join on the index, for long sequences."""
     conv = case == CONVOLUTION
-    long = sequences.select("data_index", F.posexplode("features").alias("at", "item"))
+    long = sequences.select("data_index", *carry, F.posexplode("features").alias("at", "item"))
     df = None
     for s in range(1, k + 1):
-        side = long.select(F.col("data_index"), F.col("at").alias(f"at_{s}"), F.col("item").alias(f"item_{s}"))
+        side = long.select("data_index", *(carry if s == 1 else ()), F.col("at").alias(f"at_{s}"), F.col("item").alias(f"item_{s}"))
         if df is None:
             df = side
             continue
@@ -98,5 +98,5 @@ def enumerate_by_join(sequences: DataFrame, k: int, case: str, filter_len: int |
         if conv and overlap == "reject":
             on = on & (F.col(f"item_{s}")["pos"] - F.col(f"item_{s - 1}")["pos"] >= filter_len)
         df = df.join(side, on).drop("right_index")
-    packed = df.select("data_index", F.array(*(F.col(f"item_{i}") for i in range(1, k + 1))).alias("features"))
-    return enumerate_combinations(packed, k, case, filter_len, "allow")
+    packed = df.select("data_index", *carry, F.array(*(F.col(f"item_{i}") for i in range(1, k + 1))).alias("features"))
+    return enumerate_combinations(packed, k, case, filter_len, "allow", carry)

@@ -71,6 +71,34 @@ class CountMinSketch:
         cells = F.array(*(F.struct(F.lit(r).alias("row"), self.cell(r).alias("col")) for r in range(self.rows)))
         return df.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.row", "cell.col")
 
+    def describe(self) -> str:
+        return f"{self.rows} x {self.cols} counters over {', '.join(self.keys)}"
+
+    def lookup(self, cells: DataFrame, row: int, col: int) -> int:
+        """The counter at (row, col), both from 0; cells that hold nothing are 0."""
+        require(0 <= row < self.rows and 0 <= col < self.cols, "no such cell")
+        found = cells.filter((F.col("row") == row) & (F.col("col") == col)).first()
+        return found["cnt"] if found else 0
+
+    def count(self, occurrences: DataFrame) -> DataFrame:
+        """Cells straight from occurrences: each task sends rows * cols partial
+        counts at most, whatever the number of keys."""
+        return self._addressed(occurrences).groupBy("row", "col").agg(F.count(F.lit(1)).alias("cnt"))
+
+    def probe(self, df: DataFrame, cells: DataFrame, rows_used: str = "all") -> DataFrame:
+        """Adds ``est`` to every row of df, without a shuffle of df: the counters
+        are one broadcast array (a sketch beyond BROADCAST_CELLS is joined)."""
+        rows = 1 if rows_used == "first" else self.rows
+        if self.rows * self.cols > BROADCAST_CELLS:
+            return df.join(self.estimate(df.select(*self.keys).distinct(), cells, rows_used), list(self.keys))
+        place = (F.col("row") * self.cols + F.col("col")).alias("place")
+        zeros = df.sparkSession.range(rows * self.cols).select(F.col("id").alias("place"), F.lit(0).cast("bigint").alias("cnt"))
+        dense = cells.filter(F.col("row") < rows).select(place, "cnt").unionByName(zeros).groupBy("place").agg(F.sum("cnt").alias("cnt"))
+        counters = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cnt"))), lambda x: x["cnt"]).alias("counters"))
+        ests = [F.get("counters", (self.cell(r) + r * self.cols).cast("int")) for r in range(rows)]
+        est = F.least(*ests) if rows > 1 else ests[0]
+        return df.crossJoin(F.broadcast(counters)).select(*df.columns, est.alias("est"))
+
     def update(self, counts: DataFrame) -> DataFrame:
         """Cells of pre-aggregated counts (keys, count)."""
         return self._addressed(counts, "count").groupBy("row", "col").agg(F.sum("count").alias("cnt"))

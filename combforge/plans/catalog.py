@@ -17,7 +17,7 @@ from combforge.functions import memory, post
 from combforge.operators.partition import assign_buckets, bucket_ranges
 from combforge.operators.sketch import CountMinSketch
 from combforge.plans.mine import MiningPlan, mine_motifs
-from combforge.sources import ORDINARY, length_stats, merge_duplicates, normalise
+from combforge.sources import ORDINARY, length_stats, make_conv_feature, merge_duplicates, normalise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +132,12 @@ def _auto(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(found["batch_size"], found["num_batches"], found["total_data_points"], found["max_active_len"])], "batch_size BIGINT, num_batches BIGINT, total_data_points BIGINT, max_active_len BIGINT")
 
 
+def _auto_memory(s: SparkSession, d: str) -> DataFrame:
+    found = memory.auto_configure(baskets(s, d), 3, target_memory_gb=0.005)
+    names = ("memory_per_point_kb", "memory_per_batch_mb", "fixed_memory_mb", "estimated_peak_memory_gb")
+    return s.createDataFrame([tuple(float(found[n]) for n in names)], ", ".join(f"{n} DOUBLE" for n in names))
+
+
 _ROWS = math.ceil(math.log(1 / 1e-4))
 _COLS = math.ceil(math.e / 5e-5)
 _C3 = "(max(n) * (max(n) - 1) * (max(n) - 2) // 6)"
@@ -139,6 +145,8 @@ _FIXED = f"(4 * (3 * {_C3} + {_ROWS * _COLS} + {_ROWS * 3}))"
 _POINT = f"(max(n) * 12 + {_C3})"
 _BATCH = f"greatest(10, least(({math.floor(0.005 * 1024**3)} - {_FIXED}) // {_POINT}, 10000, count(*)))"
 
+_PEAK = f"CAST({_FIXED} + {_POINT} * {_BATCH} AS DOUBLE)"
+
 CATALOG: dict[str, tuple[Query, str]] = {
     **{f"ord_k{k}": ((lambda s, d, k=k, n=n: mine_motifs(baskets(s, d), k, min_count=n)), _ordinary(k, n) + " SELECT * FROM mined") for k, n in ((1, 100), (2, 30), (3, 5), (4, 2), (5, 2))},
     "conv_k1": (lambda s, d: mine_motifs(tracks(s, d), 1, filter_len=8, min_count=50), _mined(_tracks(False), 1, 50, 8) + " SELECT * FROM mined"),
@@ -191,6 +199,12 @@ CATALOG: dict[str, tuple[Query, str]] = {
     "mem_per_point": (_one("bytes", lambda n: memory.per_point_bytes(n, 3, ORDINARY)), f"WITH {BASKETS}, {LENGTHS} SELECT CAST({_POINT} AS BIGINT) AS bytes FROM lens"),
     "mem_fixed": (_one("bytes", lambda n: memory.fixed_bytes(n, 3, ORDINARY)), f"WITH {BASKETS}, {LENGTHS} SELECT CAST({_FIXED} AS BIGINT) AS bytes FROM lens"),
     "auto_batch": (_auto, f"WITH {BASKETS}, {LENGTHS} SELECT CAST({_BATCH} AS BIGINT) AS batch_size, CAST(ceil(count(*) / {_BATCH}) AS BIGINT) AS num_batches, count(*) AS total_data_points, CAST(max(n) AS BIGINT) AS max_active_len FROM lens"),
+    "auto_batch_memory": (_auto_memory, f"WITH {BASKETS}, {LENGTHS} SELECT CAST({_POINT} AS DOUBLE) / 1024 AS memory_per_point_kb, {_PEAK} / 1048576 AS memory_per_batch_mb, CAST({_FIXED} AS DOUBLE) / 1048576 AS fixed_memory_mb, {_PEAK} / 1073741824 AS estimated_peak_memory_gb FROM lens"),
+    "ord_k2_join": (lambda s, d: mine_motifs(baskets(s, d), 2, min_count=30, plan="join"), _ordinary(2, 30) + " SELECT * FROM mined"),
+    "conv_make_feature": (
+        lambda s, d: tracks(s, d).select("data_index", make_conv_feature(F.col("filter"), F.col("contribution"), F.col("position")).alias("x")).groupBy("x.filter").agg(F.count("*").alias("n"), F.min("x.position").alias("first"), F.max("x.position").alias("last")),
+        f'WITH {_tracks(False)} SELECT f AS filter, count(*) AS n, min(p) AS first, max(p) AS last FROM r GROUP BY f',
+    ),
 }
 
 

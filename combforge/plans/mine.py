@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from combforge.config import MiningConfig, require
 from combforge.operators import combine, exact
-from combforge.operators.partition import assign_buckets
+from combforge.operators.partition import assign_buckets, bucket_ranges
 from combforge.operators.sketch import CountMinSketch
-from combforge.sources import CONVOLUTION, infer_case, normalise
+from combforge.sources import CONVOLUTION, infer_case, normalise, validate
 
 
 class MiningPlan:
@@ -38,7 +38,8 @@ class MiningPlan:
 
     def _enumerate(self, contributions: bool) -> DataFrame:
         c = self.config
-        return combine.enumerate_combinations(self._sequences(contributions), c.motif_size, self.case, c.filter_len, c.overlap, ("bucket",) if self._bucketed else ())
+        build = combine.enumerate_by_join if c.plan == "join" else combine.enumerate_combinations
+        return build(self._sequences(contributions), c.motif_size, self.case, c.filter_len, c.overlap, ("bucket",) if self._bucketed else ())
 
     def occurrences(self) -> DataFrame:
         """All combinations, before selection."""
@@ -53,39 +54,69 @@ class MiningPlan:
         return exact.scoped_counts(self._enumerate(False), self.keys, self.config.count_scope)[0]
 
     def cells(self) -> DataFrame:
-        """Cells of the sketch over the whole input."""
-        return self.sketch().update(exact.count_keys(self._enumerate(False), self.keys))
+        """Cells of the sketch over the whole input; no key is counted exactly."""
+        return self.sketch().count(self._enumerate(False))
+
+    def _probed(self, contributions: bool) -> DataFrame:
+        """Occurrences whose estimate reaches min_count, with ``est``."""
+        found = self.sketch().probe(self._enumerate(contributions), self.cells(), self.config.cms_rows_used)
+        return found.filter(F.col("est") >= self.config.min_count)
 
     def estimates(self) -> DataFrame:
-        sketch, counts = self.sketch(), exact.count_keys(self._enumerate(False), self.keys)
-        return sketch.estimate(counts.select(*self.keys), sketch.update(counts), self.config.cms_rows_used)
+        return self.sketch().probe(self._enumerate(False).select(*self.keys).distinct(), self.cells(), self.config.cms_rows_used)
 
     def select(self) -> DataFrame:
-        """Selected keys with their count; under "cms" the count is the estimate."""
+        """Selected keys with their count; under "cms" the count is the estimate.
+
+        Under "cms_verified" only occurrences whose estimate passes are counted.
+        """
         c = self.config
         if c.method == "exact":
             return self.count().filter(F.col("count") >= c.min_count)
         require(c.count_scope == "global", "sketch methods count over the whole input")
         if c.method == "cms":
-            return self.estimates().filter(F.col("est") >= c.min_count).withColumnRenamed("est", "count")
-        likely = self.estimates().filter(F.col("est") >= c.min_count).select(*self.keys)
-        return exact.count_keys(self._enumerate(False).join(likely, self.keys, "left_semi"), self.keys).filter(F.col("count") >= c.min_count)
+            return self._probed(False).groupBy(*self.keys).agg(F.max("est").alias("count"))
+        return exact.count_keys(self._probed(False), self.keys).filter(F.col("count") >= c.min_count)
 
     def extract(self) -> DataFrame:
         """Every occurrence of a selected key, with ``count`` as the last column."""
         c = self.config
         on = [*self.keys, "bucket"] if self._bucketed else self.keys
-        rows = exact.select_frequent(self.occurrences(), self.select(), on, c.min_count)
+        if c.method == "cms" and not self._bucketed:
+            rows = self._probed(True).withColumnRenamed("est", "count")
+        else:
+            likely = self._probed(True).drop("est") if c.method == "cms_verified" and not self._bucketed else self.occurrences()
+            rows = exact.select_frequent(likely, self.select(), on, c.min_count)
         place = ["start", "end"] if self.case == CONVOLUTION else []
         return rows.select(*self.keys, *place, "data_index", "contribution", "count")
 
 
+class PartitionedPlan(MiningPlan):
+    """Mining with length buckets; an input without sequences is an error."""
+
+    def __init__(self, df: DataFrame, config: MiningConfig):
+        validate(df)
+        super().__init__(df, config)
+
+    def ranges(self) -> DataFrame:
+        """Non-empty buckets with their length range and number of sequences."""
+        return bucket_ranges(normalise(self._df, self.case, contributions=False), self.config.partition_width)
+
+    def statistics(self) -> str:
+        """Ranges, sizes and the sketch that all buckets share; a row per bucket
+        reaches the driver."""
+        c, sketch = self.config, self.sketch()
+        head = [f"case {self.case}, motif size {c.motif_size}, filter length {c.filter_len}, batch size {c.batch_size}", f"sketch {sketch.describe()}"]
+        return "\n".join([*head, *(f"bucket {r.bucket}: lengths {r.lo} to {r.hi}, {r.n_sequences} sequences" for r in self.ranges().orderBy("bucket").collect())])
+
+
 def mine_motifs(df: DataFrame, motif_size: int | None = None, filter_len: int | None = None, min_count: int | None = None, config: MiningConfig | None = None, **more) -> DataFrame:
     """Every occurrence of every K-combination found at least ``min_count`` times.
 
     Keywords override ``config``. The result is empty, with its schema, when no
-    sequence is long enough.
+    sequence is long enough; an input without rows is an error.
     """
+    validate(df)
     config = (config or MiningConfig()).with_(motif_size=motif_size, filter_len=filter_len, min_count=min_count, **more)
     return MiningPlan(df, config).extract()
 

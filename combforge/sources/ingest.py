@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from combforge.errors import SchemaError
+from combforge.errors import EmptyInputError, SchemaError
 
 ORDINARY = "OrdinaryFeatures"
 CONVOLUTION = "Convolution"
@@ -48,7 +48,7 @@ def validate(df: DataFrame) -> str:
     """Infer the case and insist on at least one row."""
     case = infer_case(df)
     if df.isEmpty():
-        raise SchemaError("the input holds no sequence")
+        raise EmptyInputError("the input holds no sequence")
     return case
 
 

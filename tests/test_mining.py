@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from combforge import InvalidConfigurationError, MiningConfig, MiningPlan, SchemaError, from_dict, mine_motifs
+from combforge import EmptyInputError, InvalidConfigurationError, MiningConfig, MiningPlan, PartitionedPlan, SchemaError, from_dict, mine_motifs
 from combforge.errors import EnumerationTooLargeError
 from combforge.operators import combine
 from combforge.operators.partition import bucket_ranges
@@ -64,6 +64,9 @@ def test_join_plan_gives_the_same_rows(spark):
     for data, case, f in ((ORD, ORDINARY, None), (CONV, CONVOLUTION, 5)):
         s = normalise(from_dict(spark, data, case), case)
         assert got(combine.enumerate_by_join(s, 2, case, f)) == got(combine.enumerate_combinations(s, 2, case, f))
+        df = from_dict(spark, data, case)
+        assert got(mine_motifs(df, 2, f, 2, plan="join")) == got(mine_motifs(df, 2, f, 2))
+        assert got(mine_motifs(df, 2, f, count_scope="prefix", plan="join")) == got(mine_motifs(df, 2, f, count_scope="prefix"))
 
 
 def test_sketch_never_undercounts(spark):
@@ -74,6 +77,15 @@ def test_sketch_never_undercounts(spark):
     assert set(exact) == set(least) and all(least[k] >= exact[k] for k in exact)
     first = MiningPlan(plan._df, plan.config.with_(cms_rows_used="first")).estimates().collect()
     assert all(r.est >= least[r.m1, r.m2] for r in first)
+    sketch, cells = plan.sketch(), plan.cells()
+    whole = cells.collect()
+    assert sketch.describe() == f"{sketch.rows} x {sketch.cols} counters over m1, m2"
+    assert {sketch.lookup(cells, r.row, r.col) - r.cnt for r in whole[:3]} == {0} and sum(r.cnt for r in whole) == sketch.rows * sum(exact.values())
+    assert got(sketch.update(plan.count())) == got(cells)
+    with pytest.raises(InvalidConfigurationError):
+        sketch.lookup(cells, sketch.rows, 0)
+    keys = plan.count().select("m1", "m2")
+    assert got(sketch.estimate(keys, cells)) == got(sketch.probe(keys, cells))
     verified = MiningPlan(plan._df, plan.config.with_(method="cms_verified")).extract()
     assert got(verified) == got(plan.extract())
 
@@ -91,8 +103,9 @@ def test_empty_short_and_null(spark):
     assert got(mine_motifs(df, 2)) == [(5, 6, 1, 2.0, 1)]
     none = mine_motifs(df, 4)
     assert none.count() == 0 and none.columns == ["m1", "m2", "m3", "m4", "data_index", "contribution", "count"]
-    with pytest.raises(SchemaError):
-        validate(df.limit(0))
+    for call in (validate, mine_motifs, lambda d: PartitionedPlan(d, MiningConfig())):
+        with pytest.raises(EmptyInputError):
+            call(df.limit(0))
 
 
 def test_errors(spark):
