@@ -165,4 +165,15 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_chat": op3_chat}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_chat": rf"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')),
+n AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(role = 'assistant', false) AS said,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM c),
+e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS body,
+  replace(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '\', '\\'), chr(10), '\n') AS head FROM n),
+p AS (SELECT *, said OR r = n AS made, sum({len(START) + 1 + len(END)} + length(head) + length(body)) OVER (PARTITION BY conv_id ORDER BY r) AS upto FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY r)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (said), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY r) FILTER (said), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (made) AS BIGINT) AS formatted_chars, count(*) FILTER (made) AS n_examples FROM p GROUP BY conv_id"""
+}

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from combforge.llm.common import clash_free, table
+from combforge.llm.common import LOWER, UPPER, clash_free, table
 
 # The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -209,4 +209,34 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_licenses": op1_licenses}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _values(rows: list[tuple]) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+def _sql(rare: int = 6, votes: int = 3) -> str:
+    """The scan as joins of (document, place, word) with the words of phrases and templates."""
+    phrases = sorted({*BASE_PHRASES, *(m for _, must in TEMPLATES.values() for m in must)})
+    musts = [(label, m, len(f" {text} "[: f" {text} ".index(f" {m} ")].split()), len(must)) for label, (text, must) in TEMPLATES.items() for m in must]
+    return rf"""
+WITH pw(phrase, i, word, n) AS ({_values([(p, i, w, len(p.split())) for p in phrases for i, w in enumerate(p.split())])}),
+base(phrase, label) AS ({_values([*BASE_PHRASES.items()])}),
+tw(label, i, word) AS ({_values([(label, i, w) for label, (text, _) in TEMPLATES.items() for i, w in enumerate(text.split())])}),
+must(label, phrase, i, n) AS ({_values(musts)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT r, unnest(range(len(words))) AS i, unnest(words) AS word FROM d),
+df AS (SELECT word, count(DISTINCT r) AS n FROM w GROUP BY word),
+place AS (SELECT r, phrase, w.i - pw.i AS pos FROM w JOIN pw USING (word) GROUP BY r, phrase, w.i - pw.i HAVING count(*) = any_value(n)),
+best AS (SELECT label, word FROM (SELECT DISTINCT label, word FROM tw) LEFT JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY label ORDER BY coalesce(n, 0), word) <= {rare}),
+post AS (SELECT *, least({votes}, count(*) OVER (PARTITION BY label)) AS votes FROM tw SEMI JOIN best USING (label, word)),
+voted AS (SELECT r, label, w.i - post.i AS pos FROM w JOIN post USING (word) GROUP BY r, label, w.i - post.i HAVING count(*) >= any_value(votes)),
+own AS (SELECT r, v.label FROM voted AS v JOIN must USING (label) JOIN place AS p USING (r, phrase) WHERE p.pos = v.pos + must.i
+  GROUP BY r, v.label, v.pos HAVING count(*) = any_value(n)),
+hits AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place JOIN base USING (phrase) GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, count(DISTINCT label) AS n FROM (SELECT r, label FROM own UNION ALL SELECT r, label FROM place JOIN base USING (phrase)) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, 1 - 1 / CAST(1 + coalesce(n, 0) AS DOUBLE) AS score FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+
+ORACLE_SQL = {"op1_licenses": _sql()}

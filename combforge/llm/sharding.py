@@ -59,4 +59,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_sharding": op10_sharding}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    # The CRC is reduced byte by byte over the table of the reflected polynomial.
+    "op10_sharding": rf"""
+WITH t AS (SELECT list(c ORDER BY b) AS crc FROM (
+  SELECT b, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, {0xEDB88320}) ELSE a // 2 END, b) AS c FROM range(256) r(b))),
+d AS (SELECT doc_id, source, encode(coalesce(text, '')) AS body, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS h FROM documents),
+c AS (SELECT doc_id, source, h, octet_length(body) + 8 AS size, xor({2**32 - 1}, list_reduce(list_transform(regexp_extract_all(hex(body), '..'),
+  lambda x: CAST('0x' || x AS BIGINT)), lambda a, b: xor(a >> 8, crc[xor(a % 256, b) + 1]), {2**32 - 1})) AS text_crc32 FROM d, t),
+f AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST) - 1 AS DOUBLE) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, h, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM f),
+s AS (SELECT *, place * {SHARDS} // total AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(place - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+}

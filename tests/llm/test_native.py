@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
-from combforge.llm import licenses, lines, mixing, sharding
+from combforge.llm import chat, licenses, lines, mixing, sharding
 
 SCHEMA = "doc_id BIGINT, text STRING, source STRING, lang STRING, n_words STRING, size STRING, row STRING, `key` STRING"
 
@@ -145,3 +146,41 @@ def test_order_of_the_shards_against_brute_force(spark):
     want = [p[-1] for p in sorted(placed, key=lambda p: p[:-1])]
     shards = [k * 7 // len(want) for k in range(len(want))]
     assert got == {(s, k - shards.index(s)): x for k, (s, x) in enumerate(zip(shards, want))}
+
+
+def _equals_sql(spark, module, name, folder, source):
+    """A query's rows are those of its SQL over one table."""
+    got = module.QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {source} AS SELECT * FROM '{folder}/{source}.parquet/*.parquet'")
+    found = con.execute(module.ORACLE_SQL[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(got.columns)
+    want = Counter(map(str, found.fetchall()))
+    assert Counter(str(tuple(r)) for r in got.select(*names).collect()) == want
+    return want
+
+
+def test_licenses_equal_their_sql(spark, tmp_path):
+    texts = [None, "", "all rights reserved cc by", "CC BY cc by"]
+    for label, (text, must) in licenses.TEMPLATES.items():
+        words = text.split()
+        texts += [text.upper(), "İK " + text.replace(" ", ", ") + " cc by", " ".join(words[len(words) // 2 :]), " ".join(words[2:]), *must, f"{text} {text}", " ".join(w for w in words if w != words[-2])]
+    frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(None, texts[4], None), (3, texts[3], "s")]).write.parquet(str(tmp_path / "documents.parquet"))
+    _equals_sql(spark, licenses, "op1_licenses", tmp_path, "documents")
+    named = {x for r in licenses.op1_licenses(spark, str(tmp_path)).collect() for x in r.labels.split(",")}
+    assert named == {"", *licenses.TEMPLATES, *licenses.BASE_PHRASES.values()}
+
+
+def test_shards_equal_their_sql(spark, tmp_path):
+    rows = [(i, None if i % 50 == 0 else "é€😀"[: i % 4] * (i % 9), None if i % 13 == 0 else f"s{i % 5 % 3}") for i in range(300)]
+    frame(spark, [*rows, (7, "a", "s1"), (None, "n", "s2")]).drop("size").write.parquet(str(tmp_path / "documents.parquet"))
+    _equals_sql(spark, sharding, "op10_sharding", tmp_path, "documents")
+
+
+def test_chats_equal_their_sql(spark, tmp_path):
+    texts = ["", None, "a\nb", "<|im_end|>\n", "<\\|", "<\\\\|x<||", "😀é", "\\n"]
+    roles = ["assistant", "user", None, "a\\b\n<|", "system", "assistant"]
+    rows = [(c if c < 9 else None, t, roles[(c + t * t) % 6], texts[(3 * c + t) % 8]) for c in range(10) for t in range(c + 1)]
+    spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING").write.parquet(str(tmp_path / "conversations.parquet"))
+    _equals_sql(spark, chat, "op3_chat", tmp_path, "conversations")
