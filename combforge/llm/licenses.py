@@ -17,10 +17,11 @@ other columns pass through unharmed; every input row gives one output row.
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ TEMPLATES = {
     "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 }
 
+HASH_SEED = 42  # of xxhash64 in Spark
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -66,30 +68,21 @@ def with_words(df: DataFrame, text: str, to: str) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Phrase:
-    label: str
-    words: tuple[str, ...]
-    anchor: int  # position of the rarest word
-
-
-@dataclass(frozen=True)
-class Template:
+class Entry:
     label: str
     postings: dict[str, list[int]]  # rare word: positions
-    votes: int
-    must: tuple[tuple[int, int], ...]  # (phrase number, position in the template)
+    votes: int  # places of rare words that must agree
+    must: tuple[tuple[int, tuple[str, ...]], ...]  # position and words of each key phrase
 
 
 @dataclass(frozen=True)
 class Index:
-    base: tuple[Phrase, ...]
-    keys: tuple[Phrase, ...]
-    templates: tuple[Template, ...]
+    base: tuple[Entry, ...]
+    templates: tuple[Entry, ...]
 
     @property
     def words(self) -> list[str]:
-        rare = {p.words[p.anchor] for p in (*self.base, *self.keys)}
-        return sorted(rare.union(*(t.postings for t in self.templates)))
+        return sorted(set().union(*(e.postings for e in (*self.base, *self.templates))))
 
 
 def licence_words(base=BASE_PHRASES, templates=TEMPLATES) -> list[str]:
@@ -112,93 +105,74 @@ def build_index(total: int, df: dict[str, int], base=BASE_PHRASES, templates=TEM
     of them must agree on an offset (fewer only for a shorter template)."""
     idf = lambda w: math.log((total + 1) / (df.get(w, 0) + 1))
 
-    def phrase(label: str, text: str) -> Phrase:
-        words = tuple(text.split())
-        return Phrase(label, words, max(range(len(words)), key=lambda i: (idf(words[i]), -i)))
-
-    keys: list[Phrase] = []
-    made = []
-    for label, (text, must) in templates.items():
+    def entry(label: str, text: str, must: tuple[str, ...], rare: int, votes: int) -> Entry:
         words = text.split()
         best = sorted(set(words), key=lambda w: (-idf(w), w))[:rare]
-        places = []
-        for m in must:
-            at = next(i for i in range(len(words)) if words[i : i + len(m.split())] == m.split())
-            places.append((len(keys), at))
-            keys.append(phrase(label, m))
         postings = {w: [i for i, x in enumerate(words) if x == w] for w in best}
-        made.append(Template(label, postings, min(votes, sum(map(len, postings.values()))), tuple(places)))
-    return Index(tuple(phrase(label, text) for text, label in base.items()), tuple(keys), tuple(made))
-
-
-def _places(p: Phrase, words: Column, hits: Column) -> Column:
-    """Starts of a phrase: the places of its rarest word, each verified."""
-    starts = F.transform(F.filter(hits, lambda h: F.get(words, h) == p.words[p.anchor]), lambda h: h - p.anchor)
-
-    def holds(s: Column) -> Column:
-        ok = s >= 0
-        for i, w in enumerate(p.words):
-            if i != p.anchor:
-                ok = ok & F.coalesce(F.get(words, F.greatest(s, F.lit(0)) + i) == w, F.lit(False))
-        return ok
-
-    return F.filter(starts, holds)
+        keys = [tuple(m.split()) for m in must]
+        places = [next(i for i in range(len(words)) if tuple(words[i : i + len(k)]) == k) for k in keys]
+        return Entry(label, postings, min(votes, sum(map(len, postings.values()))), tuple(zip(places, keys, strict=True)))
 
+    return Index(tuple(entry(label, text, (text,), 1, 1) for text, label in base.items()), tuple(entry(label, text, must, rare, votes) for label, (text, must) in templates.items()))
 
-def _offsets(t: Template, words: Column, hits: Column) -> Column:
-    """Offsets on which enough rare words agree, in linear time after a sort."""
-    postings = F.create_map(*(x for w, at in t.postings.items() for x in (F.lit(w), F.array(*map(F.lit, at)))))
-    own = F.filter(hits, lambda h: F.get(words, h).isin(*t.postings))
-    return F.array_sort(F.flatten(F.transform(own, lambda h: F.transform(F.element_at(postings, F.get(words, h)), lambda r: h - r))))
 
+SHIFT, ZERO = 33, 1 << 32  # an entry and an offset in one BIGINT
 
-def _minus(n: int) -> Callable[[Column], Column]:
-    return lambda x: x - n
 
-
-def _repeated(ordered: Column, times: int) -> Column:
-    """Values that stand ``times`` times in a sorted array."""
-    return F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + (times - 1)) == x, F.lit(False)))
+def _tables(entries: tuple[Entry, ...], slots: int) -> Column:
+    """The index as one constant: postings hashed into slots, and a rule per entry."""
+    postings: list[list[dict]] = [[] for _ in range(slots)]
+    for t, e in enumerate(entries):
+        for w, at in e.postings.items():
+            postings[xxhash.xxh64_intdigest(w.encode(), HASH_SEED) % slots] += [{"word": w, "code": (t << SHIFT) + ZERO - r} for r in at]
+    rules = [{"label": e.label, "votes": e.votes, "must": [{"at": at, "words": list(words)} for at, words in e.must]} for e in entries]
+    schema = "postings ARRAY<ARRAY<STRUCT<word: STRING, code: BIGINT>>>, rules ARRAY<STRUCT<label: STRING, votes: INT, must: ARRAY<STRUCT<at: INT, words: ARRAY<STRING>>>>>"
+    return F.from_json(F.lit(json.dumps({"postings": postings, "rules": rules})), schema)
 
 
 def scan(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score
-    to every row (a clashing name of the input is replaced)."""
+    to every row (a clashing name of the input is replaced).
+
+    The index is data, not columns: the plan is the same for any number of templates.
+    """
     out = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     keep = [c for c in docs.columns if c.lower() not in out]
+    entries, slots = (*index.base, *index.templates), 1 << len(index.words).bit_length()
+    tables = _tables(entries, slots)
+    postings, rules, end = tables["postings"], tables["rules"], F.lit(len(index.base) << SHIFT)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text}`").alias("text"))
     df = with_words(packed, "text", "words").select("row", "words")
-    hits = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(*index.words), i)))
-    df = df.select("row", "words", hits.alias("hits"))
-    w, h = F.col("words"), F.col("hits")
-    df = df.select(
-        "row",
-        F.size(w).cast("bigint").alias("n_words"),
-        *(_places(p, w, h).alias(f"b{i}") for i, p in enumerate(index.base)),
-        *(_places(p, w, h).alias(f"k{i}") for i, p in enumerate(index.keys)),
-        *(_offsets(t, w, h).alias(f"t{i}") for i, t in enumerate(index.templates)),
-    )
-    base = [F.when(F.size(f"b{i}") > 0, F.lit(p.label)) for i, p in enumerate(index.base)]
-    more = []
-    for i, t in enumerate(index.templates):
-        c = F.col(f"t{i}")
-        voted = _repeated(c, t.votes)
-        for k, at in t.must:
-            voted = F.array_intersect(voted, F.transform(f"k{k}", _minus(at)))
-        more.append(F.when(F.size(voted) > 0, F.lit(t.label)))
-    names = lambda labels: F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))
-    df = df.select("*", names(base).alias("own"), names([*base, *more]).alias("all"))
-    n = sum((F.size(f"b{i}") for i in range(1, len(index.base))), F.size("b0")).cast("bigint")
-    least = lambda f, g: f(*(g(f"b{i}") for i in range(len(index.base))), F.lit(None).cast("int"))
+    df = df.select("row", "words", F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(*index.words), i))).alias("hits"))
+
+    def looked_up(h: Column) -> Column:
+        word = F.get("words", h)
+        return F.transform(F.filter(F.get(postings, F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")), lambda p: p["word"] == word), lambda p: p["code"] + h)
+
+    rule = lambda c: F.get(rules, F.shiftright(c, SHIFT).cast("int"))
+    offset = lambda c: (c.bitwiseAND(F.lit((1 << SHIFT) - 1)) - ZERO).cast("int")
+    df = df.select("row", "words", F.sort_array(F.flatten(F.transform("hits", looked_up))).alias("all"))
+
+    def voted(c: Column, i: Column) -> Column:
+        """The first of a run that is long enough."""
+        return F.coalesce(F.get("all", i - 1) != c, F.lit(True)) & F.coalesce(F.get("all", i + rule(c)["votes"] - 1) == c, F.lit(False))
+
+    def verified(c: Column) -> Column:
+        return F.forall(rule(c)["must"], lambda m: (offset(c) + m["at"] >= 0) & (F.slice("words", F.greatest(offset(c) + m["at"], F.lit(0)) + 1, F.size(m["words"])) == m["words"]))
+
+    df = df.select("row", F.size("words").cast("bigint").alias("n_words"), F.filter(F.filter("all", voted), verified).alias("found"))
+    df = df.select("row", "n_words", "found", F.transform(F.filter("found", lambda c: c < end), offset).alias("starts"))
+    names = lambda codes: F.sort_array(F.array_distinct(F.transform(codes, lambda c: rule(c)["label"])))
+    df = df.select("*", names(F.filter("found", lambda c: c < end)).alias("own"), names("found").alias("both"))
     return df.select(
         "row.*",
         "n_words",
-        n.alias("n_base"),
-        least(F.least, F.array_min).cast("bigint").alias("first_word"),
-        least(F.greatest, F.array_max).cast("bigint").alias("last_word"),
+        F.size("starts").cast("bigint").alias("n_base"),
+        F.array_min("starts").cast("bigint").alias("first_word"),
+        F.array_max("starts").cast("bigint").alias("last_word"),
         F.array_join("own", ",").alias("base_labels"),
-        F.array_join("all", ",").alias("labels"),
-        (1 - 1 / (1 + F.size("all")).cast("double")).alias("score"),
+        F.array_join("both", ",").alias("labels"),
+        (1 - 1 / (1 + F.size("both")).cast("double")).alias("score"),
     )
 
 

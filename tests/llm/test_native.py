@@ -172,6 +172,16 @@ def test_licenses_equal_their_sql(spark, tmp_path):
     assert named == {"", *licenses.TEMPLATES, *licenses.BASE_PHRASES.values()}
 
 
+def test_hundreds_of_templates(spark):
+    words = [f"w{i}" for i in range(900)]
+    templates = {f"t{k}": (" ".join(words[(7 * k + 11 * i * (k + 1)) % 900] for i in range(12)), ()) for k in range(300)}
+    templates = {k: (t, (" ".join(t.split()[3:7]),)) for k, (t, _) in templates.items()}
+    docs = frame(spark, [(k, f"x {templates[f't{k}'][0]}. y", "s") for k in range(300)] + [(300, " ".join(words[::2]), "s")])
+    index = licenses.build_index(*licenses.document_frequencies(docs, licenses.licence_words({}, templates)), templates=templates)
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(docs, index).collect()}
+    assert all(f"t{k}" in got[k] for k in range(300)) and sum(map(len, got.values())) < 600
+
+
 def test_shards_equal_their_sql(spark, tmp_path):
     rows = [(i, None if i % 50 == 0 else "é€😀"[: i % 4] * (i % 9), None if i % 13 == 0 else f"s{i % 5 % 3}") for i in range(300)]
     frame(spark, [*rows, (7, "a", "s1"), (None, "n", "s2")]).drop("size").write.parquet(str(tmp_path / "documents.parquet"))
