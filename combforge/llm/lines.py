@@ -31,7 +31,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     ident = (F.col(f"`{doc_id}`").alias("d"), F.xxhash64(body).alias("th"))
     lines = docs.select(*ident, F.posexplode_outer(F.split(body, "\n")).alias("pos", "line"))
     lines = lines.select("d", "th", "pos", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key")).filter(F.length("key") >= min_chars)
-    lines = lines.select("d", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
+    lines = lines.select("d", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     common = lines.groupBy("h1", "h2").agg(F.count_distinct("d").alias("n"), F.max("d").alias("keeper")).filter(F.col("n") >= min_docs).select("h1", "h2", "keeper")
     gone = lines.join(common, ["h1", "h2"]).filter(F.col("d").isNull() | (F.col("d") != F.col("keeper")))
     gone = gone.groupBy("d", "th").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"d": "gd", "th": "gth"})
