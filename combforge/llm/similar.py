@@ -5,7 +5,7 @@
 2. SimHash fingerprints of the sets are compared tile by tile (``simhash.links``);
    what lies within ``radius`` bits is a candidate.
 3. A fingerprint is no bound on the similarity, so an exact way covers the rest.
-   Prefix filter: in one order of all shingles (rare ones of a sample first) two
+   Prefix filter: in one order of all shingles (those of rare cells first) two
    sets of similarity s share one of their first n - ceil(s n) + 1. The order
    decides how many pairs meet, never which pairs are found. Each set is a
    candidate with the smallest doc_id that it may be similar to: linear.
@@ -59,39 +59,44 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
 
 
-def frequent(docs: DataFrame, width: int, texts: int = 10_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in three or more texts of a sample, in order, and how often."""
-    every = max(1, docs.count() // texts)
+def frequencies(docs: DataFrame, width: int, cells: int = 1 << 18) -> np.ndarray:
+    """In how many texts, all of them counted, the shingles of a cell are found.
+
+    A shingle falls on the cell of its low bits. A task adds up ``cells`` numbers
+    and sends those that are not zero; ``cells`` rows reach the driver at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
         for b in batches:
             for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), width)).view(np.int64))], names=["h"])
-
-    rows = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(run, "h BIGINT")
-    found = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(most).toArrow()
-    h, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+                np.add.at(total, (np.unique(shingle_hashes(t.as_py(), width)) & np.uint64(cells - 1)).astype(np.int64), 1)
+        c = np.flatnonzero(total)
+        for at in range(0, len(c), 1 << 16):
+            part = c[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["c", "n"])
+
+    found = docs.select("text").mapInArrow(run, "c BIGINT, n BIGINT").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[found.column("c").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, k0 and k1 (128 bits of the set), n, the fingerprint f0, the small
     bitmap, the wide one m and the prefix p."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, often = shared.value
+        often = shared.value
+        mask = np.uint64(len(often) - 1)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 keys, sizes, prints, maps, wides, prefixes = [], [], [], [], [], []
                 for t in part.column(1):
                     s = np.unique(shingle_hashes(t.as_py(), width))
-                    weight = np.zeros(len(s), np.int64)
-                    if len(common) and len(s):
-                        place = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        weight = np.where(common[place] == s, often[place], 0)
+                    weight = often[(s & mask).astype(np.int64)]
                     keys.append(np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64))
                     sizes.append(len(s))
                     prints.append(simhash.fingerprint(s)[0])

@@ -87,3 +87,14 @@ def test_other_text_under_a_repeated_doc_id_stays(spark):
     a, b = (" ".join(unlike(x, 30)) for x in "ab")
     df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b)], "doc_id BIGINT, text STRING")
     assert sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [(1, a), (1, b)]
+
+
+def test_frequencies_count_every_text_once(spark):
+    texts = ["a b c d e f", "a b c d e f a b c d e f", "", None, "x"] * 30
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING").repartition(7)
+    want = np.zeros(1 << 10, np.int64)
+    for t in texts:
+        for h in shingles(t):
+            want[h & 1023] += 1
+    assert similar.frequencies(df, 5, 1 << 10).tolist() == want.tolist()
+    assert similar.frequencies(df.limit(0), 5, 1 << 10).sum() == 0
